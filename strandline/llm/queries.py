@@ -13,6 +13,7 @@ from .exact_dedup import exact_groups
 from .langid import held_out, identify
 from .mixing import mix_plan
 from .simhash import near_groups
+from .toxicity import score_documents, train
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
@@ -41,7 +48,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_chat, op5_mixing, op7_exact_dedup, op10_langid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_chat, op5_mixing, op7_exact_dedup, op8_toxicity, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": r"""

@@ -23,13 +23,14 @@ from .common import slices, utf8
 from .langid import held_out
 
 #: A word's features: the whole word and its beginnings and ends of these many bytes, in 2 ** LOG2 weights.
-BEGINNINGS, ENDS, LOG2 = (3, 4, 5, 6), (3, 4), 16
+BEGINNINGS, ENDS, LOG2 = (3, 4, 5, 6), (3, 4), 18
 #: A word's bytes beyond this count only by their number.
 WIDE = 32
 #: The bounds of the training sample: toxic rows, other rows, and the bytes of a sampled text.
 TOXIC_ROWS, OTHER_ROWS, MOST_BYTES = 900, 1500, 20_000
-#: A token is labelled toxic if its beginning is this many times as frequent in toxic documents, and in so many of them.
-RATIO, LEAST_DOCS = 25.0, 4
+#: A token is labelled toxic if a beginning of its word is this many times as frequent in toxic documents, after so many different
+#: words, and after as many as this share of the toxic documents.
+RATIO, LEAST_CONTEXTS, LEAST_SHARE = 12.0, 4, 0.01
 #: Words whose evidence a task remembers.
 REMEMBERED = 200_000
 #: ASCII letters in lower case; other ASCII parts tokens.
@@ -133,8 +134,9 @@ class Model:
         return f * b / (f * b + (1 - f) * (1 - b))
 
     def document(self, marginals: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """Log odds that any token is toxic, tempered: log of the expected number of toxic tokens, for each of n documents."""
-        return np.log(np.bincount(doc, marginals, n) + 1e-4)
+        """The evidence of each of n documents: the logarithm of a count of its toxic tokens, in which unlikely ones hardly count,
+        so that a long document's many small marginals do not add up to a toxic one."""
+        return np.log(np.bincount(doc, marginals**4, n) + 1e-3)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -40, 40)))
@@ -157,25 +159,34 @@ class Tokens:
 
 
 def _labelled_tokens(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """The label of each token, from its document's label and where its word's beginnings are found."""
+    """The label of each token, from its document's label and where its word's beginnings are found.
+
+    A beginning counts once for each different word before it, so that copies of a passage are not taken for evidence.
+    """
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    docs = (max(1, int((~toxic).sum())), max(1, int(toxic.sum())))
+    sizes = [max(1, int((toxic[tokens.doc] == k).sum())) for k in (False, True)]
     beginnings = [[w] + [w[:k] for k in BEGINNINGS[1:] if len(w) > k] for w in tokens.words]
-    pairs = np.unique(np.stack([tokens.doc, tokens.word]), axis=1)
-    at = np.searchsorted(pairs[0], np.arange(len(toxic) + 1))
-    for i, label in enumerate(toxic.tolist()):
-        counts[label].update({b for w in pairs[1, at[i] : at[i + 1]].tolist() for b in beginnings[w]})
+    before = np.where(tokens.first, -1, np.append(-1, tokens.word[:-1]))
+    for label in (0, 1):
+        mine = toxic[tokens.doc] == bool(label)
+        pairs = np.unique(np.stack([before[mine], tokens.word[mine]]), axis=1)
+        seen: dict[bytes, set] = {}
+        for p, w in pairs.T.tolist():
+            for b in beginnings[w]:
+                seen.setdefault(b, set()).add(p)
+        counts[label].update({b: len(x) for b, x in seen.items()})
+    least = max(LEAST_CONTEXTS, LEAST_SHARE * int(toxic.sum()))
 
     def telling(b: bytes) -> bool:
-        return counts[1][b] >= LEAST_DOCS and (counts[1][b] + 0.1) / docs[1] > RATIO * (counts[0][b] + 0.1) / docs[0]
+        return counts[1][b] >= least and (counts[1][b] + 0.1) / sizes[1] > RATIO * (counts[0][b] + 0.1) / sizes[0]
 
     word = np.array([any(map(telling, x)) for x in beginnings], bool)
     return (word[tokens.word] & toxic[tokens.doc]).astype(np.float64)
 
 
-def fit(texts: list[bytes], labels: list[int], steps: int = 40) -> Model:
+def fit(texts: list[bytes], labels: list[int], share: float | None = None, steps: int = 60) -> Model:
     """A model of whole texts and their labels: the likelihood of the labelled tokens by adaptive gradient steps, then the scale
-    of the document's score. With labels of one kind only, every score is their share."""
+    of the document's score; share is that of toxic labels among all. With labels of one kind only, every score is their share."""
     toxic = np.array(labels, bool)
     model = Model(base=float(toxic.mean()) if len(toxic) else 0.0)
     if not toxic.any() or toxic.all():
@@ -186,8 +197,7 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 40) -> Model:
     y = _labelled_tokens(tokens, toxic)
     rows = features(tokens.words)
     first, last, n_words = tokens.first, tokens.last, len(tokens.words)
-    heavy = np.where(y > 0, 1.0, 1.0)
-    sums = {k: np.full(1 << LOG2, 1e-8) for k in ("own", "before", "after")}
+    sums = {k: np.full(1 << LOG2, 1e-6) for k in ("own", "before", "after")}
     move_sum, bias_sum = np.full((2, 2), 1e-8), 1e-8
     inner = ~first
     prior = y[:-1][inner[1:]]
@@ -198,7 +208,7 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 40) -> Model:
         e = model.evidence(model.word_evidence(rows)[:, tokens.word], first, last)
         f, b = model.passes(e, first, last)
         p = f * b / (f * b + (1 - f) * (1 - b))
-        wrong = (p - y) * heavy / n
+        wrong = (p - y) / n
         shifted = (wrong, np.append(np.where(first[1:], 0, wrong[1:]), 0.0), np.append(0.0, np.where(last[:-1], 0, wrong[:-1])))
         for name, g in zip(("own", "before", "after"), shifted, strict=True):
             by_word = np.bincount(tokens.word, g, n_words)
@@ -219,13 +229,18 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 40) -> Model:
         bias_sum += bias_grad**2
         model.bias -= 0.3 * bias_grad / np.sqrt(bias_sum)
     model.learned = True
+    for name in sums:
+        setattr(model, name, getattr(model, name).astype(np.float32))
     e = model.evidence(model.word_evidence(rows)[:, tokens.word], first, last)
     z = model.document(model.marginals(e, first, last), tokens.doc, len(texts))
-    weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())) / len(toxic)
-    for _ in range(300):  # two numbers by gradient
-        off = (model.score(z) - toxic) * weight
-        model.slope -= 2.0 * ((off * z).sum() + 1e-3 * model.slope)
-        model.shift -= 2.0 * off.sum()
+    share = model.base if share is None else share
+    weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
+    x = np.stack([z, np.ones_like(z)])
+    for _ in range(30):  # two numbers by Newton's method, held back a little
+        p = model.score(z)
+        curve = (x * (weight * p * (1 - p) + 1e-6)) @ x.T + 0.05 * np.eye(2)
+        step = np.linalg.solve(curve, x @ (weight * (p - toxic)) + 0.05 * np.array([model.slope, model.shift]))
+        model.slope, model.shift = (np.array([model.slope, model.shift]) - np.clip(step, -1, 1)).tolist()
     return model
 
 
@@ -242,7 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     chosen = known.where(draw < chance).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where((F.octet_length("text") <= MOST_BYTES)).select("doc_id", "text", "__toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text.encode() for r in rows], [r["__toxic"] for r in rows])
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    return fit([r.text.encode() for r in rows], [r["__toxic"] for r in rows], share)
 
 
 SCORES = "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>"
