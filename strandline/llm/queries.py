@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from .chat import format_segments, read_back
 from .common import table
+from .embedding_join import similar_groups
 from .exact_dedup import exact_groups
 from .langid import held_out, identify
 from .mixing import mix_plan
+from .pii import find
 from .simhash import near_groups
 from .toxicity import score_documents, train
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -44,11 +50,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_chat, op5_mixing, op7_exact_dedup, op8_toxicity, op10_langid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_simhash, op3_chat, op5_mixing, op6_embeddings, op7_exact_dedup, op8_toxicity, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": r"""
