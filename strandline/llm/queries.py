@@ -14,6 +14,7 @@ from .exact_dedup import exact_groups
 from .langid import held_out, identify
 from .mixing import mix_plan
 from .pii import find
+from .sentencepiece import Pieces, decode, encode
 from .simhash import near_groups
 from .toxicity import score_documents, train
 
@@ -35,6 +36,17 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_segments(rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))))
 
 
+#: The installed model; any other path may be given.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    pieces = Pieces.load(model)
+    done = decode(encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("same_text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -58,7 +70,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_simhash, op3_chat, op5_mixing, op6_embeddings, op7_exact_dedup, op8_toxicity, op10_langid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_simhash, op3_chat, op4_sentencepiece, op5_mixing, op6_embeddings, op7_exact_dedup, op8_toxicity, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": r"""
