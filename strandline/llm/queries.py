@@ -14,6 +14,7 @@ from .exact_dedup import exact_groups
 from .langid import held_out, identify
 from .mixing import mix_plan
 from .pii import find
+from .repeated_spans import removal
 from .sentencepiece import Pieces, decode, encode
 from .simhash import near_groups
 from .toxicity import score_documents, train
@@ -57,6 +58,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
@@ -70,7 +75,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_simhash, op3_chat, op4_sentencepiece, op5_mixing, op6_embeddings, op7_exact_dedup, op8_toxicity, op10_langid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_simhash, op3_chat, op4_sentencepiece, op5_mixing, op6_embeddings, op7_exact_dedup, op8_toxicity, op9_suffix_dedup, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": r"""
