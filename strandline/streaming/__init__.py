@@ -1,0 +1 @@
+"""Inputs are bounded; there is no streaming operator."""
