@@ -11,9 +11,10 @@ from ..config import EngineConf
 from ..functions import cigar as C
 from ..functions import keys as K
 from ..functions import sequence as S
-from ..operators import cohort, linear, pairs, read_groups, segments, summary
+from ..operators import cohort, linear, pairs, read_groups, segments, simulate, summary
 from ..operators.detect import candidates_of, near_sites, with_catalog
 from ..operators.regions import SITE
+from ..operators.simulate import SimConf
 from .annotation import exon_boundaries, exon_chains, gene_spans, splice_pairs
 from .views import cte, view
 
@@ -466,3 +467,57 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     keys = linear.spanned_sites(linear.linear_interval(_classified_records(spark, d)), candidates, 88)
     found = summary.summarize(evidence, linear.linear_counts(keys, candidates), 0, (*exon_boundaries(exons), exons, gene_spans(exons)))
     return summary.ordered(found)
+
+
+UNIFORM = "(cast('0x' || left(md5({}), 8) as bigint) / 4294967296.0)"
+
+
+@query(f"""with {cte('gtf')} select distinct chrom, "start", "end", strand from gtf where {UNIFORM.format("concat_ws('|', '7', 'exclusive', chrom, \"start\", \"end\", strand)")} < 0.25""")
+def exclusive_exons(spark: SparkSession, d: str) -> DataFrame:
+    return simulate.exclusive_exons(view(spark, d, "gtf"), SimConf(seed=7, exclusive_rate=0.25))
+
+
+@query(f"""with {cte('gtf')}, x as (select distinct chrom, "start", "end", strand from gtf where {UNIFORM.format("concat_ws('|', '7', 'exclusive', chrom, \"start\", \"end\", strand)")} < 0.25)
+    select distinct gene_id, transcript_id from gtf where not exists (select 1 from x where x.chrom = gtf.chrom and x."start" = gtf."start" and x."end" = gtf."end" and x.strand = gtf.strand)""")
+def surviving_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    exons = view(spark, d, "gtf")
+    return simulate.surviving_transcripts(exons, simulate.exclusive_exons(exons, SimConf(seed=7, exclusive_rate=0.25)))
+
+
+@query("select p_partkey, greatest(cast(round(p_size * 100 * 7.0 / 300.0) as bigint), 1) as circular_pairs, greatest(cast(round(p_size * 7.0 / 300.0) as bigint), 0) as linear_pairs from part")
+def coverage_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    pairs_of = lambda n, least: simulate.pair_count(n, F.lit(7.0), 150, least)
+    return rows.select("p_partkey", pairs_of(F.col("p_size") * 100, 1).alias("circular_pairs"), pairs_of(F.col("p_size"), 0).alias("linear_pairs"))
+
+
+@query()
+def local_alignment_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and length of the local alignment of two stretches of each read."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from strandline.functions.kernels import local_alignment
+
+        for batch in batches:
+            found = [local_alignment(s[:40], s[30:70]) for s in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([x for x, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int32())], names=["file_ord", "score", "length"])
+
+    return view(spark, d, "aln").select("file_ord", "seq").mapInArrow(run, "file_ord long, score int, length int")
+
+
+@query()
+def difference_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Each read's difference string against itself, moved by two bases."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from strandline.functions.kernels import difference_string
+
+        for batch in batches:
+            found = [difference_string(s, s[2:] + s[:2], c) for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(found)], names=["file_ord", "difference"])
+
+    return view(spark, d, "aln").where("cigar <> '*'").select("file_ord", "seq", "cigar").mapInArrow(run, "file_ord long, difference string")
