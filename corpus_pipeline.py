@@ -13,7 +13,7 @@ from strandline.llm.exact_dedup import drop_exact_copies
 from strandline.llm.langid import keep_identified
 from strandline.llm.mixing import mix
 from strandline.llm.queries import MODEL
-from strandline.llm.sentencepiece import Pieces, decode, encode
+from strandline.llm.sentencepiece import Pieces, round_trip
 from strandline.llm.simhash import drop_near_copies
 
 
@@ -40,8 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether they decode to the text, for each row of the mix."""
     pieces = Pieces.load(MODEL)
-    done = decode(encode(docs, pieces), pieces)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+    return round_trip(docs, pieces).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "same_text")
 
 
 STAGES = [

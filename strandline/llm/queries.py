@@ -15,7 +15,7 @@ from .langid import held_out, identify
 from .mixing import mix_plan
 from .pii import find
 from .repeated_spans import removal
-from .sentencepiece import Pieces, decode, encode
+from .sentencepiece import Pieces, round_trip
 from .simhash import near_groups
 from .toxicity import score_documents, train
 
@@ -43,9 +43,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     pieces = Pieces.load(model)
-    done = decode(encode(table(spark, sf_dir, "documents"), pieces), pieces)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("same_text"))
+    done = round_trip(table(spark, sf_dir, "documents"), pieces)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "same_text")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ SPACE = "▁"
 #: Words up to this many characters are merged side by side; longer ones one by one, with a heap.
 SIDE_BY_SIDE = 48
 #: Words that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -114,64 +115,87 @@ class Merger:
 
     def _ids(self, symbols: list[int], word: str) -> list[int]:
         """Symbols to ids; one that is no piece, or no symbol, is a single character of the word at that place."""
-        if min(symbols) >= 0 and max(symbols) < len(self.table.pieces):
-            return symbols
         out, at = [], 0
-        for s in symbols:
-            if 0 <= s < len(self.table.pieces):
-                out.append(s)
-                at += len(self.table.pieces[s])
+        for x in symbols:
+            if 0 <= x < len(self.table.pieces):
+                out.append(x)
+                at += len(self.table.pieces[x])
             else:
                 out += self.table.fallback(word[at])
                 at += 1
         return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        order = sorted((i for i, w in enumerate(words) if len(w) <= SIDE_BY_SIDE), key=lambda i: len(words[i]))
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has."""
+        by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if len(w) > SIDE_BY_SIDE:
-                out[i] = self._ids(self._alone(w), w)
-        for at in range(0, len(order), 1 << 15):
-            chunk = order[at : at + (1 << 15)]
-            for i, symbols in zip(chunk, self._together([words[i] for i in chunk]), strict=True):
-                out[i] = self._ids(symbols, words[i])
-        return out
-
-    def _together(self, words: list[str]) -> list[list[int]]:
-        """The best merge of every word at once, the leftmost of equals, until none has one."""
-        width = max(map(len, words))
-        s = np.full((len(words), width), -2, np.int64)
-        get = self.symbol.get
-        for i, w in enumerate(words):
-            s[i, : len(w)] = [get(c, -1) for c in w]
-        done: list = [None] * len(words)
-        rows = np.arange(len(words))
-        if not len(self.keys):
-            return [[x for x in r if x != -2] for r in s.tolist()]
-        place = self._look(s[:, :-1], s[:, 1:])
+            by_length.setdefault(len(w), []).append(i)
+        whole: list[tuple[np.ndarray, np.ndarray]] = []
+        single: list[tuple[int, list[int]]] = []
+        n_pieces = len(self.table.pieces)
+        for length, rows in by_length.items():
+            if length > SIDE_BY_SIDE:
+                single += [(i, self._ids(self._alone(words[i]), words[i])) for i in rows]
+                continue
+            for at in range(0, len(rows), 1 << 15):
+                chunk = np.array(rows[at : at + (1 << 15)])
+                codes = np.frombuffer("".join(words[i] for i in chunk.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+                for mine, symbols in self._together(codes):
+                    plain = ((symbols >= 0) & (symbols < n_pieces)).all(axis=1)
+                    whole.append((chunk[mine[plain]], symbols[plain]))
+                    single += [(int(i), self._ids(x, words[i])) for i, x in zip(chunk[mine[~plain]].tolist(), symbols[~plain].tolist(), strict=True)]
+        lengths = np.zeros(len(words), np.int64)
+        for rows, symbols in whole:
+            lengths[rows] = symbols.shape[1]
+        for i, x in single:
+            lengths[i] = len(x)
+        starts = np.cumsum(lengths) - lengths
+        ids = np.zeros(int(lengths.sum()), np.int64)
+        for rows, symbols in whole:
+            ids[starts[rows][:, None] + np.arange(symbols.shape[1])] = symbols
+        for i, x in single:
+            ids[starts[i] : starts[i] + len(x)] = x
+        return ids, lengths
+
+    def _symbols(self, codes: np.ndarray) -> np.ndarray:
+        """The symbols of code points, -1 where there is none."""
+        if not hasattr(self, "_codes"):
+            pairs = sorted((ord(c), i) for c, i in self.symbol.items() if len(c) == 1)
+            self._codes, self._of = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.full(1, -1), np.full(1, -1))
+        at = np.minimum(np.searchsorted(self._codes, codes), len(self._codes) - 1)
+        return np.where(self._codes[at] == codes, self._of[at], -1)
+
+    def _together(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of one length (rows of code points): the best merge of each at once, the leftmost of equals, until none has one.
+
+        Each round takes one symbol from every word that is not done, so that all words at work stay equally long. Yields rows
+        and their symbols.
+        """
+        s, rows = self._symbols(codes), np.arange(len(codes))
+        place = self._look(s[:, :-1], s[:, 1:]) if len(self.keys) else np.full((len(s), s.shape[1] - 1), -1)
+        rank = np.where(place >= 0, self.rank[place], NONE) if place.size else np.full(place.shape, NONE)
         while len(rows):
-            rank = np.where(place >= 0, self.rank[place], NONE) if place.shape[1] else np.full((len(rows), 1), NONE)
+            if s.shape[1] == 1:
+                yield rows, s
+                return
             best = rank.argmin(axis=1)
             live = rank[np.arange(len(rows)), best] != NONE
-            for r, symbols in zip(rows[~live].tolist(), s[~live].tolist(), strict=True):
-                done[r] = [x for x in symbols if x != -2]
-            rows, s, place, best = rows[live], s[live], place[live], best[live]
-            if not len(rows):
-                break
+            if not live.all():
+                yield rows[~live], s[~live]
+                rows, s, place, rank, best = rows[live], s[live], place[live], rank[live], best[live]
             n, at = len(rows), np.arange(len(rows))
+            if not n:
+                return
             s[at, best] = self.made[place[at, best]]
             keep = np.ones(s.shape, bool)
             keep[at, best + 1] = False
             s = s[keep].reshape(n, -1)
-            place = place[keep[:, 1:]].reshape(n, -1)  # the pair right of the merge moves into its place
-            if s.shape[1] == 1:
-                place = np.zeros((n, 0), np.int64)
-                continue
+            place, rank = place[keep[:, 1:]].reshape(n, -1), rank[keep[:, 1:]].reshape(n, -1)  # the pair right of the merge moves up
             for side in (best - 1, best):
                 ok = (side >= 0) & (side < place.shape[1])
-                place[at[ok], side[ok]] = self._look(s[at[ok], side[ok]], s[at[ok], side[ok] + 1])
-        return done
+                found = self._look(s[at[ok], side[ok]], s[at[ok], side[ok] + 1])
+                place[at[ok], side[ok]] = found
+                rank[at[ok], side[ok]] = np.where(found >= 0, self.rank[found], NONE)
 
     def _alone(self, word: str) -> list[int]:
         """One word of any length, with a heap of merges: time in proportion to n log n."""
@@ -206,21 +230,20 @@ def _encode(table: Pieces):
         index: dict[str, int] = {}
         ids = starts = lengths = np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", most_bytes=2 << 20):
+            for part in slices(batch, "text", most_bytes=1 << 20):
                 texts = [words_of(x or "", table.dummy_prefix) for x in part.column(1).to_pylist()]
-                distinct = set().union(*texts)
+                coded = pa.array([w for t in texts for w in t], pa.string()).dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
                 if len(index) + len(distinct) > REMEMBERED:
                     index, ids, starts, lengths = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
                 fresh = [w for w in distinct if w not in index]
                 if fresh:
-                    made = merger.encode_words(fresh)
-                    size = np.fromiter(map(len, made), np.int64, len(made))
+                    made, size = merger.encode_words(fresh)
                     starts = np.append(starts, len(ids) + np.cumsum(size) - size)
                     lengths = np.append(lengths, size)
-                    ids = np.append(ids, np.fromiter((x for m in made for x in m), np.int64, int(size.sum())))
+                    ids = np.append(ids, made)
                     index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
-                get = index.__getitem__
-                word = np.fromiter((get(w) for t in texts for w in t), np.int64)
+                word = np.fromiter(map(index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
                 per_word = lengths[word]
                 ends = np.cumsum(per_word)
                 flat = ids[np.repeat(starts[word] - ends + per_word, per_word) + np.arange(ends[-1] if len(ends) else 0)]
@@ -249,13 +272,28 @@ def _decode(table: Pieces):
             written[i] = bytes([b])
         if not table.byte_ids:
             written[table.unknown] = " ⁇ ".encode()
-        get = written.__getitem__
+        size = np.fromiter(map(len, written), np.int64, len(written))
+        start, data = np.cumsum(size) - size, np.frombuffer(b"".join(written), np.uint8)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                texts = [b"".join(map(get, x or ())) for x in part.column(part.num_columns - 1).to_pylist()]
-                texts = [x[1:] if table.dummy_prefix and x[:1] == b" " else x for x in texts]
-                yield pa.record_batch([*part.columns, pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())], names=[*part.schema.names, "decoded"])
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                lists = part.column(part.num_columns - 1).fill_null([])
+                ids, counts = lists.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(lists).to_numpy()
+                per_id = size[ids]
+                ends = np.cumsum(per_id)
+                flat = data[np.repeat(start[ids] - ends + per_id, per_id) + np.arange(ends[-1] if len(ends) else 0)]
+                bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+                keep = np.ones(len(flat), bool)
+                if table.dummy_prefix:
+                    first = bounds[:-1][bounds[:-1] < bounds[1:]]
+                    keep[first] = flat[first] != 32
+                offsets = np.append(0, np.cumsum(keep))[bounds]
+                texts = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat[keep].tobytes())])
+                try:
+                    texts = texts.cast(pa.string())
+                except pa.ArrowInvalid:  # ids that are not whole characters
+                    texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+                yield pa.record_batch([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
     return run
 
@@ -265,6 +303,22 @@ def decode(encoded: DataFrame, table: Pieces) -> DataFrame:
     return encoded.select("doc_id", "text", "ids").mapInArrow(_decode(table), "doc_id long, text string, ids array<int>, decoded string")
 
 
+def _round_trip(table: Pieces):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _decode(table)(_encode(table)(batches)):
+            doc_id, text, ids, decoded = batch.columns
+            yield pa.record_batch([doc_id, ids, pa.compute.equal(decoded, text.fill_null(""))], names=["doc_id", "ids", "same_text"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, table: Pieces) -> DataFrame:
+    """doc_id, ids, same_text: encode and decode in one pass of one worker; same_text tells whether the ids give the text back."""
+    if table.kind != "bpe":
+        raise ValueError("unigram models are encoded by unigram_words")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_round_trip(table), "doc_id long, ids array<int>, same_text boolean")
+
+
 # ---------------------------------------------------------------- unigram: the relational lattice
 
 
