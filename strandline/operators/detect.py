@@ -10,13 +10,14 @@ from ..functions import cigar as C
 from ..functions import keys as K
 from ..functions import sequence as S
 from ..functions.kernels import judge_pair, judge_rescue, junction_signals
+from .lineage import cut
 from .pairs import candidate_pairs, classified, mate_flag, read_parts
 from .read_groups import ORDER, first_hit, last_runs, prioritised, reverse_strand, slot, unclaimed, with_slots, work_groups
 from .regions import SITE, cut_regions, judge_by_site
 
 EVIDENCE = ["read_id", "mate", "cigar", "tag", "chrom", "site1", "site2", "strand", "signal_left", "signal_right", "q"]
 HIT = "read_id string, slot int, ord_1 int, ord_2 int, cigar string, tag int, chrom string, site1 int, site2 int, strand string, signal_left string, signal_right string, q int"
-MATE = F.when(F.col("slot") == 1, "R1").otherwise("R2").alias("mate")
+MATE = "case when slot = 1 then 'R1' else 'R2' end as mate"
 
 
 def _records(slots: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def scan_pairs(alignments: DataFrame, chunks: DataFrame, conf: EngineConf, exons
     A read's own junction is the first valid one: slot 0 before slot 1, then by records.
     """
     slots = work_groups(with_slots(alignments)).where(F.col("best.seq").isNotNull())
-    pairs = candidate_pairs(_records(slots), conf, ["read_id", "slot"])
+    pairs = cut(candidate_pairs(_records(slots), conf, ["read_id", "slot"]))
     pairs = pairs.join(slots.select("read_id", "slot", "best", "n_slots"), ["read_id", "slot"]).join(_mates(slots), ["read_id", "slot"], "left")
     reverse = reverse_strand(F.col("flag"))
     pairs = read_parts(pairs.withColumn("seq", S.oriented(F.col("best.seq"), F.col("best.reverse") == reverse)), F.col("seq"))
@@ -67,6 +68,7 @@ def scan_pairs(alignments: DataFrame, chunks: DataFrame, conf: EngineConf, exons
     else:
         pairs = pairs.join(exon_offsets(pairs, *exons), [*SITE, "adj1", "adj2"], "left").withColumn("exons", F.coalesce("exons", F.array().cast("array<struct<offset:int,strand:string>>")))
     needed = ["read_id", "slot", "n_slots", "ord_1", "ord_2", "cigars", *SITE, "adj1", "adj2", "left", "right", "tail", "mate", "reverse", "agrees", "q1", "q2", "sum_q", "exons"]
+    pairs = cut(pairs.select(*needed))
     regions = cut_regions(pairs.select(*SITE).distinct(), chunks, conf.linear_range, chunk)
     signals, linear_range = (S.RELAXED_SIGNALS if relaxed else S.SIGNALS), conf.linear_range
 
@@ -77,11 +79,11 @@ def scan_pairs(alignments: DataFrame, chunks: DataFrame, conf: EngineConf, exons
         tag, site1, site2, strand, left, right = found
         return {**{k: row[k] for k in ("read_id", "slot", "n_slots", "ord_1", "ord_2", "chrom")}, "cigar": row["cigars"], "tag": tag, "site1": site1, "site2": site2, "strand": strand, "signal_left": left, "signal_right": right, "q": row["sum_q"]}
 
-    hits = judge_by_site(pairs.select(*needed), regions, judge, HIT.replace("slot int", "slot int, n_slots long"))
+    hits = cut(judge_by_site(pairs, regions, judge, HIT.replace("slot int", "slot int, n_slots long")))
     order = ["slot", "ord_1", "ord_2", *SITE]
     judged = hits if conf.judge_first_mate_alone else hits.where((F.col("n_slots") > 1) | (F.col("slot") == 0))
-    main = first_hit(judged, ["read_id"], order).select("*", MATE).select(*EVIDENCE)
-    other = first_hit(hits, ["read_id", "slot"], order).select("*", MATE).select(*EVIDENCE)
+    main = first_hit(judged, ["read_id"], order).selectExpr("*", MATE).select(*EVIDENCE)
+    other = first_hit(hits, ["read_id", "slot"], order).selectExpr("*", MATE).select(*EVIDENCE)
     return prioritised(main, other)
 
 
@@ -94,7 +96,7 @@ def candidates_of(evidence: DataFrame) -> DataFrame:
     key = F.concat_ws("\t", "chrom", "site1", "site2", "strand", "signal_left", "signal_right")
     in_chrom = Window.partitionBy("chrom")
     rows = rows.withColumn("place", K.hash_slot(K.java_hash(key), F.count("*").over(in_chrom)))
-    return rows.withColumn("ord", F.row_number().over(in_chrom.orderBy("place", *SITE, "strand", "signal_left", "signal_right"))).drop("place")
+    return cut(rows.withColumn("ord", F.row_number().over(in_chrom.orderBy("place", *SITE, "strand", "signal_left", "signal_right"))).drop("place"))
 
 
 def with_catalog(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -142,6 +144,7 @@ def scan_clips(alignments: DataFrame, candidates: DataFrame, claims: DataFrame,
     tried = tried.withColumn("agrees", mate_flag(F.coalesce("mates", F.array()), F.col("chrom"), F.col("reverse"), F.col("site1"), F.col("site2"), paired, conf))
     tried = tried.withColumn("mate", F.when(paired, S.oriented(F.col("mate_best.seq"), F.col("mate_best.reverse") != F.col("reverse"))).otherwise(""))
     needed = ["read_id", "slot", "ord", "phase", "turn", "cand", "left_clip", *SITE, "strand", "signal_left", "signal_right", "cigar", "part", "tail", "mate", "reverse", "agrees", "mapq"]
+    tried = cut(tried.select(*needed))
     regions = cut_regions(tried.select(*SITE).distinct(), chunks, conf.linear_range, chunk)
     linear_range, min_mapq = conf.linear_range, conf.min_mapq
 
@@ -149,11 +152,11 @@ def scan_clips(alignments: DataFrame, candidates: DataFrame, claims: DataFrame,
         return {k: row[k] for k in needed if k not in ("part", "tail", "mate", "reverse", "agrees", "mapq")} | {"verdict": judge_rescue(region, row, linear_range, min_mapq)}
 
     schema = "read_id string, slot int, ord long, phase int, turn int, cand int, left_clip boolean, chrom string, site1 int, site2 int, strand string, signal_left string, signal_right string, cigar string, verdict string"
-    judged = judge_by_site(tried.select(*needed), regions, judge, schema)
+    judged = cut(judge_by_site(tried, regions, judge, schema))
     hits = judged.where("length(verdict) > 1").withColumn("tag", F.expr("cast(left(verdict, length(verdict) - 1) as int)")).withColumn("q", F.right("verdict", F.lit(1)).cast("int"))
     order = ["slot", "ord", F.desc("left_clip"), "phase", "turn", "cand", *SITE]
-    main = first_hit(hits, ["read_id"], order).select("*", MATE).select(*EVIDENCE)
-    other = first_hit(hits, ["read_id", "slot"], order).select("*", MATE).select(*EVIDENCE)
+    main = first_hit(hits, ["read_id"], order).selectExpr("*", MATE).select(*EVIDENCE)
+    other = first_hit(hits, ["read_id", "slot"], order).selectExpr("*", MATE).select(*EVIDENCE)
     from .linear import linear_keys
 
     refused = judged.where("verdict = '0'").select("read_id", *SITE)

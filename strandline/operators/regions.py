@@ -34,8 +34,8 @@ def judge_by_site(rows: DataFrame, regions: DataFrame, judge: Callable[[Region,
     """judge(region, row) for each row, its results put together. A candidate's region goes to the tasks that hold its rows, one for
     each ROWS_PER_PART of them; rows of candidates outside the reference drop out."""
     sizes = rows.groupBy(*SITE).agg(F.ceil(F.count("*") / ROWS_PER_PART).cast("int").alias("parts"))
-    dealt = rows.join(sizes, SITE).withColumn("part", F.pmod(F.xxhash64("read_id"), F.col("parts")).cast("int")).drop("parts")
-    spread = regions.join(sizes, SITE).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = rows.join(sizes, SITE).withColumn("deal", F.pmod(F.xxhash64("read_id"), F.col("parts")).cast("int")).drop("parts")
+    spread = regions.join(sizes, SITE).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(key: tuple, mine: pa.Table, region: pa.Table) -> pa.Table:
@@ -47,8 +47,9 @@ def judge_by_site(rows: DataFrame, regions: DataFrame, judge: Callable[[Region,
         out = [x for x in (judge(where, row) for row in mine.to_pylist()) if x is not None]
         return pa.table({n: pa.array([x[n] for x in out], k) for n, k in zip(names, kinds, strict=True)})
 
-    key = [*SITE, "part"]
-    return dealt.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(run, schema)
+    key = [*SITE, "deal"]
+    own = spread.select(*(F.col(c).alias(f"r_{c}") for c in key), "offset", "n", "region")
+    return dealt.groupBy(*key).cogroup(own.groupBy(*(f"r_{c}" for c in key))).applyInArrow(run, schema)
 
 
 def _kinds(schema: str) -> list[pa.DataType]:

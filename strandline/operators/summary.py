@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar as C
 from ..functions import keys as K
 from ..functions.kernels import local_alignment
+from .lineage import cut
 from .regions import SITE, cut_regions
 
 RESULT = ["junction_id", "chrom", "start", "end", "junction_reads", "shapes", "linear_reads", "ratio", "kind", "gene_id", "strand", "read_ids", "score"]
@@ -101,13 +102,13 @@ def _absorb(evidence: DataFrame, chunks: DataFrame, moves: str, chunk: int) -> D
     rows = evidence.where(F.contains("cigar", F.lit(";")))
     # The matched stretch beside the site that differs: of the second record by the same start, of the first by the same end.
     reach = C.match_to_match_length(F.element_at(F.split("cigar", ";"), which))
-    per = rows.groupBy(*SITE).agg(F.count(F.when("tag = 1 and q = 1", 1)).alias("score"), F.max(reach).alias("reach"))
+    per = rows.groupBy(*SITE).agg(F.expr("count_if(tag = 1 and q = 1)").alias("score"), F.max(reach).alias("reach"))
     key = F.concat_ws("\t", "chrom", "site1", "site2")
-    twins = per.groupBy("chrom", shared).agg(F.count("*").alias("n"), F.count(F.when("score > 0", 1)).alias("strong"), F.count(F.when("score = 0", 1)).alias("weak")).where("strong > 0 and weak > 0")
+    twins = per.groupBy("chrom", shared).agg(F.count("*").alias("n"), F.expr("count_if(score > 0)").alias("strong"), F.expr("count_if(score = 0)").alias("weak")).where("strong > 0 and weak > 0")
     members = per.join(twins, ["chrom", shared]).withColumn("place", K.hash_slot(K.java_hash(key), F.col("n")))
     need = F.greatest(F.max("reach").over(_by("chrom", shared)), F.lit(1))
-    members = members.withColumn("need", need)
-    cut = cut_regions(members.select(*SITE).distinct(), chunks, 1 << 10, chunk)
+    members = cut(members.withColumn("need", need))
+    regions = cut_regions(members.select(*SITE).distinct(), chunks, 1 << 10, chunk)
     at_end = moves == "site2"
 
     def greedy(group: pa.Table) -> pa.Table:
@@ -134,7 +135,7 @@ def _absorb(evidence: DataFrame, chunks: DataFrame, moves: str, chunk: int) -> D
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("chrom", "site1", "site2", "new1", "new2"), columns, kinds, strict=True)})
 
-    taken = members.select("chrom", "site1", "site2", "score", "reach", "place").join(cut.select(*SITE, "offset", "region"), SITE).groupBy("chrom", shared).applyInArrow(greedy, "chrom string, site1 int, site2 int, new1 int, new2 int")
+    taken = members.select("chrom", "site1", "site2", "score", "reach", "place").join(regions.select(*SITE, "offset", "region"), SITE).groupBy("chrom", shared).applyInArrow(greedy, "chrom string, site1 int, site2 int, new1 int, new2 int")
     moved = evidence.join(taken, SITE, "left")
     moved = moved.withColumn("site1", F.coalesce("new1", "site1")).withColumn("site2", F.coalesce("new2", "site2"))
     return moved.select(*evidence.columns).distinct()

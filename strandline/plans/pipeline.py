@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConf
 from ..operators import cohort, detect, linear, read_groups, segments, summary
+from ..operators.lineage import cut
 from ..operators.regions import SITE
 from .annotation import exon_boundaries, gene_spans
 
 
 @dataclass
 class Detection:
-    """Tables of a run; all are lazy."""
+    """Tables of a run."""
 
     first: DataFrame
     second: DataFrame
     candidates: DataFrame
     linear: DataFrame
+    keys: DataFrame
     results: DataFrame
 
     @property
@@ -48,10 +50,11 @@ def detect_junctions(alignments: DataFrame, chunks: DataFrame, conf: EngineConf
         candidates = detect.with_catalog(candidates, catalog)
     claims = first.where("priority = 1").select("read_id").distinct()
     second, keys = detect.scan_clips(alignments, candidates, claims, chunks, conf, read_length, chunk)
-    evidence = summary.absorb_twins(first.unionByName(second).where("priority = 1"), chunks, chunk=chunk)
+    first, second, keys = cut(first), cut(second), cut(keys)
+    evidence = cut(summary.absorb_twins(first.unionByName(second).where("priority = 1"), chunks, chunk=chunk))
     counts = linear.linear_counts(keys, candidates)
     annotation = (*boundaries, exons, gene_spans(exons)) if exons is not None else None
-    return Detection(first, second, candidates, counts, summary.summarize(evidence, counts, conf.stringency, annotation))
+    return Detection(first, second, candidates, counts, keys, summary.summarize(evidence, counts, conf.stringency, annotation))
 
 
 def cohort_catalog(results: dict[str, DataFrame]) -> DataFrame:
