@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_lookup
+from .common import cut, salted_lookup, tidy
 from .components import components
 from .simhash import forest
 
@@ -218,7 +218,7 @@ def similar_groups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     null or its group's. An empty table gives an empty one. Other columns are not read.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-9)
-    rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>")).mapInArrow(_vectors, "vec_id long, vector binary"))
+    rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>")).mapInArrow(tidy(_vectors), "vec_id long, vector binary"))
     alone = rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     groups = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     # A group that has no id at all is given one that no row has.
@@ -235,7 +235,7 @@ def similar_groups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     pairs = cut(_block_pairs(blocks, reach))
     data = blocks.select(F.col("block").alias("b"), "dims", "node", "copies", "vectors")
     met = pairs.join(data, "b").select("a", (F.col("a") == F.col("b")).alias("own"), "dims", "node", "copies", "vectors")
-    found = cut(met.repartition("a").sortWithinPartitions("a", F.desc("own")).mapInArrow(_compare(axes, reach, cosine), FOUND))
+    found = cut(met.repartition("a").sortWithinPartitions("a", F.desc("own")).mapInArrow(tidy(_compare(axes, reach, cosine)), FOUND))
     linked = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     labels = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "node")
     facts = nodes.join(linked, "node", "left").join(labels, "node", "left")

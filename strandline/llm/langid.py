@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, tidy, utf8
 
 #: n-grams of 1 to ORDER bytes fall into 2 ** LOG2 features.
 ORDER, LOG2 = 3, 13
@@ -108,7 +108,7 @@ def train(docs: DataFrame, seed: int = 5) -> Model | None:
     chance = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     sample = known.where(draw < F.coalesce(F.element_at(chance, F.col("lang")), F.lit(0.0)))
-    rows = sorted(((r.lang, bytes(r.features)) for r in sample.select("lang", "text").mapInArrow(_feature_batches, "lang string, features binary").collect()))
+    rows = sorted(((r.lang, bytes(r.features)) for r in sample.select("lang", "text").mapInArrow(tidy(_feature_batches), "lang string, features binary").collect()))
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     text if nothing is labelled. Repeated rows are kept. An empty table gives an empty one. Other columns are not read.
     """
     model = model or train(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(model), PREDICTION)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_predict(model)), PREDICTION)
 
 
 def _keep(model: Model | None, least: float):
@@ -185,4 +185,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None, least: float =
     model = model or train(docs)
     if model is None:
         return docs
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(_keep(model, least), docs.schema)
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(tidy(_keep(model, least)), docs.schema)

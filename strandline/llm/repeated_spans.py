@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 SPAN = 200
 #: A difference cover modulo PERIOD; every residue is a difference of two of its elements.
@@ -218,7 +218,7 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(texts: DataFrame, want: Suffixes, buckets: int) -> DataFrame:
     """(key, numbers): of texts (key, text, marks), the numbers of the suffixes that another one agrees with in want.width bytes."""
-    sent = texts.select("key", "text", "marks").mapInArrow(_send(want, buckets), SENT)
+    sent = texts.select("key", "text", "marks").mapInArrow(tidy(_send(want, buckets)), SENT)
 
     def order(group: pa.Table) -> pa.Table:
         if group.column("bucket")[0].as_py() >= buckets:
@@ -332,7 +332,7 @@ def removal(docs: DataFrame) -> DataFrame:
     try:
         open_texts, found = _found(docs, shared)
         joined = open_texts.join(found.withColumnRenamed("marks", "found"), "key").select("key", "text", "marks", "found")
-        results = cut(joined.mapInArrow(_remove, RESULT).dropDuplicates(["key"]))
+        results = cut(joined.mapInArrow(tidy(_remove), RESULT).dropDuplicates(["key"]))
     finally:
         shared.drop()
     _forget_shuffles(docs.sparkSession)
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     try:
         open_texts, found = _found(docs, shared)
         joined = open_texts.join(found.withColumnRenamed("marks", "found"), "key").select("key", "text", "marks", "found")
-        results = cut(joined.mapInArrow(_kept_text, "key long, kept binary").dropDuplicates(["key"]))
+        results = cut(joined.mapInArrow(tidy(_kept_text), "key long, kept binary").dropDuplicates(["key"]))
     finally:
         shared.drop()
     return _keyed(docs).join(results, "key", "left").select("doc_id", F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))

@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 SPACE = "▁"
 #: Words up to this many characters are merged side by side; longer ones one by one, with a heap.
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, table: Pieces) -> DataFrame:
     """
     if table.kind != "bpe":
         raise ValueError("unigram models are encoded by unigram_words")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(table), "doc_id long, text string, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_encode(table)), "doc_id long, text string, ids array<int>")
 
 
 def _decode(table: Pieces):
@@ -300,7 +300,7 @@ def _decode(table: Pieces):
 
 def decode(encoded: DataFrame, table: Pieces) -> DataFrame:
     """encoded (doc_id, text, ids) plus decoded, the text that the ids stand for; null ids are no ids."""
-    return encoded.select("doc_id", "text", "ids").mapInArrow(_decode(table), "doc_id long, text string, ids array<int>, decoded string")
+    return encoded.select("doc_id", "text", "ids").mapInArrow(tidy(_decode(table)), "doc_id long, text string, ids array<int>, decoded string")
 
 
 def _round_trip(table: Pieces):
@@ -316,7 +316,7 @@ def round_trip(docs: DataFrame, table: Pieces) -> DataFrame:
     """doc_id, ids, same_text: encode and decode in one pass of one worker; same_text tells whether the ids give the text back."""
     if table.kind != "bpe":
         raise ValueError("unigram models are encoded by unigram_words")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_round_trip(table), "doc_id long, ids array<int>, same_text boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_round_trip(table)), "doc_id long, ids array<int>, same_text boolean")
 
 
 # ---------------------------------------------------------------- unigram: the relational lattice

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_lookup, slices, utf8
+from .common import cut, salted_lookup, slices, tidy, utf8
 from .components import components
 
 RADIUS = 3
@@ -70,7 +70,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_fingerprint_batches), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- parts and thresholds

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, tidy, utf8
 from .langid import held_out
 
 #: A word's features: the whole word and its beginnings and ends of these many bytes, in 2 ** LOG2 weights.
@@ -314,4 +314,4 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     Whole texts are read, and nothing but the text. Null text is empty; an empty text has no toxic token and the score that
     belongs to that. Repeated rows are kept. An empty table gives an empty one. Other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), SCORES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_score(model)), SCORES)
