@@ -169,8 +169,14 @@ class BamReader(DataSourceReader):
         it; where that is unknown the start is the first place from which records follow one another."""
         source = blocks(f, start, size)
         offset, data = next(source)
-        at = skip if skip is not None else _first_record(data, len(names))
         spans = [(offset, 0)]
+        while skip is None and len(data) < 1 << 17:  # enough to see records follow one another
+            more = next(source, None)
+            if more is None:
+                break
+            spans.append((more[0], len(data)))
+            data += more[1]
+        at = skip if skip is not None else _first_record(data, len(names))
         while True:
             while spans and len(spans) > 1 and spans[1][1] <= at:
                 spans.pop(0)
@@ -198,7 +204,7 @@ def _first_record(data: bytes, n_refs: int) -> int:
     def plausible(at: int) -> int | None:
         if at + 36 > len(data):
             return None
-        n, ref, pos, l_name, _, _, n_ops, _, n_bases, mate = struct.unpack("<iiiBBHHHii", data[at : at + 32])
+        n, ref, pos, l_name, _, _, n_ops, _, n_bases, mate = struct.unpack("<iiiBBHHHii", data[at : at + 28])
         name_end = at + 36 + l_name - 1
         fine = -1 <= ref < n_refs and -1 <= mate < n_refs and pos >= -1 and l_name > 1 and n >= 32 + l_name + 4 * n_ops + n_bases + (n_bases + 1) // 2 and n_bases >= 0
         return at + 4 + n if fine and (name_end >= len(data) or data[name_end] == 0) else None
