@@ -25,7 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # A fresh plan over the written rows: a checkpoint carries its constraints along, and in a loop they multiply.
+    plain = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(plain, spark)
 
 
 def parallelism(spark: SparkSession) -> int:

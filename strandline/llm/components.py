@@ -18,11 +18,21 @@ def _follow(rows: DataFrame, key: str, parents: DataFrame) -> DataFrame:
     return rows.join(known, [key, "__salt"], "left").withColumn(key, F.coalesce("__p", key)).drop("__salt", "__p")
 
 
+def _to_roots(hooks: DataFrame) -> DataFrame:
+    """hooks (v, p) with p followed to its end; each step doubles the way, so a chain of n takes log n steps."""
+    hooks = cut(hooks)
+    while True:
+        further = cut(_follow(hooks.withColumn("was", F.col("p")), "p", hooks))
+        hooks = further.select("v", "p")
+        if further.where("p <> was").isEmpty():
+            return hooks
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component_id) for each id in links (a, b: long); component_id is the smallest id that links reach.
 
-    Each round every id hooks to its smallest smaller neighbour, hooks are followed twice, and the links are redrawn between
-    what is left, so the ids that remain at least halve. Loops, repeated links and nulls are ignored. No links: no rows.
+    Each round every id hooks to its smallest smaller neighbour, hooks are followed to their ends, and the links are redrawn
+    between these, so the ids that remain at least halve. Loops, repeated links and nulls are ignored. No links: no rows.
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
     links = cut(links.distinct())
@@ -30,8 +40,7 @@ def components(links: DataFrame) -> DataFrame:
     first = True
     while not links.isEmpty():
         hooks = links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
-        for _ in range(2):
-            hooks = cut(_follow(hooks, "p", hooks))
+        hooks = _to_roots(hooks)
         labels = cut(_follow(labels, "component_id", hooks)) if not first else cut(labels.join(hooks.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("p", "component_id").alias("component_id")))
         first = False
         links = _follow(_follow(links, "a", hooks), "b", hooks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

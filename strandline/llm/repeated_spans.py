@@ -140,7 +140,7 @@ def _send(want: Suffixes, buckets: int):
         bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-        out = [(int(bucket[by[a]]), origin, pack(number[by[a:b]]), h[by[a:b]].tobytes()) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True)]
+        out = [(int(bucket[by[a]]), origin, pack(number[by[a:b]]), h[by[a:b]].tobytes()) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(by)][: len(edges)], strict=True)]
         directory = np.array([len(keys), *keys, *places, *counts], np.int64).tobytes()
         out.append((buckets + origin % buckets, origin, pack(twice), directory))
         b, o, n, p = zip(*out, strict=True)
