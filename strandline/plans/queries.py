@@ -521,3 +521,49 @@ def difference_strings(spark: SparkSession, d: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(found)], names=["file_ord", "difference"])
 
     return view(spark, d, "aln").where("cigar <> '*'").select("file_ord", "seq", "cigar").mapInArrow(run, "file_ord long, difference string")
+
+
+@query(f"""with {cte('gtf')} select chrom, gene_id, min("start") as "start", max("end") as "end" from gtf group by all""")
+def gene_span_table(spark: SparkSession, d: str) -> DataFrame:
+    return gene_spans(view(spark, d, "gtf"))
+
+
+@query(f"""with {cte('gtf')} select chrom, "start" as pos, arg_max(gene_id, (line_no, gene_id, strand)) as gene_id, arg_max(strand, (line_no, gene_id, strand)) as strand, 'start' as side from gtf group by chrom, "start"
+    union all select chrom, "end", arg_max(gene_id, (line_no, gene_id, strand)), arg_max(strand, (line_no, gene_id, strand)), 'end' from gtf group by chrom, "end" """)
+def exon_boundary_table(spark: SparkSession, d: str) -> DataFrame:
+    starts, ends = exon_boundaries(view(spark, d, "gtf"))
+    return starts.withColumn("side", F.lit("start")).unionByName(ends.withColumn("side", F.lit("end")))
+
+
+@query(f"""with {cte('out')}, s as (select distinct sample, chrom from out), k as (select chrom as sample, dense_rank() over (order by sample, chrom) as place from s)
+    select case when row_number() over (partition by sample order by place) = 1 then sample else sample || '_' || row_number() over (partition by sample order by place) end as sample, cast(place as int) as place from k""")
+def sample_names(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = view(spark, d, "out").select("sample", "chrom").distinct()
+    rows = rows.withColumn("place", F.dense_rank().over(Window.orderBy("sample", "chrom"))).select(F.col("chrom").alias("sample"), "place")
+    return cohort.unique_names(rows)
+
+
+@query(f"""with {cte('aln', 'ev')}, {CIG}, q as (select *, concat_ws(',', case when regexp_matches(cigar, '^[0-9]+S') then 'L:' || seq[1:f] end, case when cigar like '%S' then 'R:' || right(seq, l) end) as t from p)
+    select read_id, 'scan1' as stage, cast(case when (flag // 64) % 2 = 1 then 1 when (flag // 128) % 2 = 1 then 2 else 0 end as int) as mate, flag, chrom, pos, mapq, cigar, cast(length(seq) as int) as seq_len, case when t = '' then '*' else t end as clips
+    from q where read_id in (select read_id from ev where priority = 1)""")
+def evidence_sidecar(spark: SparkSession, d: str) -> DataFrame:
+    return segments.evidence_sidecar(view(spark, d, "aln"), view(spark, d, "ev").where("priority = 1"), "scan1")
+
+
+@query(f"""with {cte('aln', 'ev')}, g as (select distinct read_id from ev where priority = 0)
+    select read_id, count(*) as n, string_agg(flag || '|' || chrom || '|' || pos || '|' || mapq || '|' || cigar, ';' order by file_ord, flag, chrom, pos, mapq, cigar) as records from aln where read_id in (select read_id from g) group by all""")
+def compact_records(spark: SparkSession, d: str) -> DataFrame:
+    reads = view(spark, d, "ev").where("priority = 0").select("read_id").distinct()
+    rows = segments.compact_records(view(spark, d, "aln"), reads)
+    text = F.array_join(F.transform("records", lambda r: F.concat_ws("|", r["flag"], r["chrom"], r["pos"], r["mapq"], r["cigar"])), ";")
+    return rows.select("read_id", F.size("records").cast("long").alias("n"), text.alias("records"))
+
+
+@query(f"""with {cte('ev')}, {AGG}, f as (select * from z where ((tp > 19 * fp or len(false_cigars) <= 2) and tp > other + fp) or (score > 0 and len(all_false) = 0 and tp_all >= 2))
+    select (select count(*) from f) as junctions, count(distinct r) as reads from (select unnest(string_split(read_ids, ',')) as r from f)""")
+def result_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "ev")
+    none = linear.linear_counts(rows.select("read_id", *SITE).limit(0), candidates_of(rows))
+    return summary.totals(summary.summarize(rows, none, 0))
