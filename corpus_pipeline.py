@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from strandline.llm.exact_dedup import drop_exact_copies
 from strandline.llm.langid import keep_identified
 from strandline.llm.mixing import mix
+from strandline.llm.near_texts import drop_similar
 from strandline.llm.queries import MODEL
 from strandline.llm.sentencepiece import Pieces, round_trip
-from strandline.llm.simhash import drop_near_copies
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group that SimHash links."""
-    return drop_near_copies(docs)
+    """One document, that with the smallest doc_id, of each group that links of similarity 0.8 on five-word shingles join."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

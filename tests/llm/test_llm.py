@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, components, embedding_join, exact_dedup, langid, mixing, pii, repeated_spans, sentencepiece, simhash, toxicity
+from strandline.llm import chat, components, embedding_join, exact_dedup, langid, mixing, near_texts, pii, repeated_spans, sentencepiece, simhash, toxicity
 from strandline.llm.queries import MODEL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -210,6 +210,43 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# ---------------------------------------------------------------- similar texts
+
+
+def brute_sets(texts, k=5):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) for t in texts]
+    return [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_drop_similar(spark, monkeypatch, block):
+    monkeypatch.setattr(near_texts, "BLOCK", block)
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))] for _ in range(12)]
+    texts = [*ODD, "One two", "ONE  two", *(" ".join(b) for b in base)]
+    for b in base:
+        for _ in range(12):  # similarities about 0.8, on both sides
+            copy = list(b)
+            for _ in range(rng.randrange(1, max(2, len(b) // 30))):
+                copy[rng.randrange(len(b))] = "new"
+            texts.append(" ".join(copy))
+    sets = brute_sets(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    prints = [brute_print(t) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in links) > 20  # what 3 bits miss
+    docs = docs_of(spark, texts).withColumn("sha", F.lit("clash")).withColumn("node", F.lit(1))
+    kept = near_texts.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots(range(len(texts)), links).values()))
+
+
+def test_drop_similar_nulls_and_repeats(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (5, "A b  c"), (5, "A b  c"), (None, "z"), (None, "z"), (7, None), (8, ""), (None, None), (9, "q")]
+    kept = near_texts.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(5, "A b  c"), (None, "z"), (7, None), (9, "q")])
+    assert near_texts.drop_similar(kept.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
