@@ -42,39 +42,48 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return per.select("__null", "__source", "source_size", "n_docs", "target")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: one row for each row of docs (doc_id, source, text).
-
-    Size is the number of words; null and empty texts have none and take no words. Sources stand in code point order, null
-    last, and get ``weights`` in turn of ``share`` times all words; a target stops at ``most`` times its source's size and the
-    excess goes to the others by weight. Rows that repeat a doc_id are separate rows. Reruns agree, whatever the partitions.
-    An empty table gives an empty one. Other columns are not read.
-    """
-    sizes = cut(docs.select("doc_id", F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__source"), words(F.col("text")).alias("size")))
+def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, carry: bool) -> DataFrame:
+    """The rows of docs with their copies; with carry, whole rows go along as ``__row``."""
+    # Rows without a doc_id are told apart by their text, or all of them would stand in one block.
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    sizes = docs.select("doc_id", F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__source"), words(F.col("text")).alias("size"), key.alias("__key"), *([F.struct("*").alias("__row")] if carry else []))
+    sizes = cut(sizes)
     n = sizes.count()
     # Documents of a source in order of size, so that each stretch of the prefix sum carries close to its share of words.
     sizes = sizes.withColumn("__class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"))
-    sizes = sizes.withColumn("__part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(16, n // ROWS_PER_BLOCK))).cast("int"))
+    sizes = sizes.withColumn("__part", F.pmod("__key", F.lit(max(16, n // ROWS_PER_BLOCK))).cast("int"))
     block = ["__null", "__source", "__class", "__part"]
     in_source = Window.partitionBy("__null", "__source").orderBy("__class", "__part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = sizes.groupBy(*block).agg(F.count("*").alias("n"))
     blocks = blocks.withColumn("__before", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
     facts = blocks.join(source_targets(sizes, weights, share, most), ["__null", "__source"]).drop("n", "n_docs")
-    in_block = Window.partitionBy(*block).orderBy("size", F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
+    # Rows that agree in all that is ordered by may still differ elsewhere.
+    tie = [F.xxhash64(F.to_json("__row"))] if carry else []
+    in_block = Window.partitionBy(*block).orderBy("size", F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", *tie)
     placed = sizes.withColumn("__rank", F.row_number().over(in_block)).join(facts, block)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.pmod(F.xxhash64("__source", "__null", F.lit(seed + 2)), F.lit(1 << 53)) / float(1 << 53)
     passed = lambda k: F.floor(each * k + offset)
     rank = F.col("__before") + F.col("__rank")
-    placed = placed.withColumn("copies", (passed(rank) - passed(rank - 1)).cast("long"))
+    return placed.withColumn("copies", (passed(rank) - passed(rank - 1)).cast("long"))
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken: one row for each row of docs (doc_id, source, text).
+
+    Size is the number of words; null and empty texts have none and take no words. Sources stand in code point order, null
+    last, and get ``weights`` in turn of ``share`` times all words; a target stops at ``most`` times its source's size and the
+    excess goes to the others by weight. Rows that repeat a doc_id are separate rows. Reruns agree, whatever the partitions.
+    An empty table gives an empty one. Other columns are not read.
+    """
+    placed = _placed(docs, weights, share, most, seed, False)
     return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """docs with each row as often as mix_plan's copies say (0, 1 or more times); all columns stay.
 
-    Needs distinct doc_ids that are not null: a row is matched with its plan by doc_id.
+    Rows go through the plan whole: those without a doc_id, and each of those that repeat one, have copies of their own.
     """
-    plan = mix_plan(docs, **how).where("copies > 0").select(F.col("doc_id").alias("__plan_id"), F.col("copies").alias("__copies"))
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__plan_id")).join(plan, "__plan_id")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
+    rows = _placed(docs, weights, share, most, seed, True).where("copies > 0").select("__row", "copies")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

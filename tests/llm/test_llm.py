@@ -121,6 +121,19 @@ def test_mix(spark):
     assert copies == Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
+def test_mix_keeps_null_and_repeated_ids(spark):
+    rows = [(None, f"w {i} x y", "en", "a", i) for i in range(40)] + [(7, "one two three", "en", "a", 1)] * 40 + [(i, "p q r s", None, None, 1) for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, DOCS)
+    plan, mixed = mixing.mix_plan(docs).collect(), mixing.mix(docs)
+    copies = Counter()
+    for r in plan:
+        copies[r.doc_id] += r.copies
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(rows)
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in copies.items() if n})
+    assert copies[None] > 20 and 20 < copies[7] <= 80 and max(Counter(map(tuple, mixed.where("doc_id is null").collect())).values()) <= 2
+    assert sorted(mixed.collect(), key=str) == sorted(mixing.mix(docs.repartition(7)).collect(), key=str)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_plan(docs_of(spark, ["a"]).limit(0)).count() == 0
     [row] = mixing.mix_plan(docs_of(spark, [None])).collect()
