@@ -99,16 +99,16 @@ def exact_groups(docs: DataFrame, bits_per_row: int = 16) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, bits_per_row: int = 16) -> DataFrame:
-    """docs without the rows that exact_groups does not keep; all columns stay as they are, whatever their names.
+    """docs with one row of each group of exact_groups, a row that it keeps; all columns stay as they are, whatever their names.
 
-    Only rows that may repeat are joined with verdicts; the others pass without a shuffle. Rows that repeat a doc_id and its
-    text share a verdict, so all of them stay or go; give documents distinct ids first if that matters.
+    Rows that repeat a doc_id and its text share exact_groups' verdict; here one of them stays. Only rows that may repeat
+    shuffle, and each task sends one row of a group at most; the others pass.
     """
-    digests, bitmaps, cells, n = _state(docs, bits_per_row)
-    gone = _verdicts(may_repeat(digests, bitmaps, cells).where("__again"), n).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    digests, bitmaps, cells, _ = _state(docs, bits_per_row)
     rows = docs.select(F.struct("*").alias("__row"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
     probed = may_repeat(rows, bitmaps, cells)
     alone = probed.where(~F.col("__again")).select("__row.*")
-    same = F.col("__row.doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("text_sha256") == F.col("__gone_sha"))
-    return alone.unionByName(probed.where("__again").join(gone, same, "left_anti").select("__row.*"))
+    length = F.char_length(F.coalesce(F.col("__row.text"), F.lit("")))
+    order = F.struct(-length, F.col("__row.doc_id"), F.xxhash64(F.to_json("__row")))
+    one = probed.where("__again").groupBy("text_sha256").agg(F.min_by("__row", order).alias("__row"))
+    return alone.unionByName(one.select("__row.*"))

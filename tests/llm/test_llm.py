@@ -81,6 +81,13 @@ def test_drop_exact_copies(spark):
     assert exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0 == exact_dedup.exact_groups(docs.limit(0)).count()
 
 
+def test_drop_exact_copies_of_repeated_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (2, "ab"), (3, "x"), (3, "y"), (None, "n"), (None, "n"), (None, None), (None, ""), (4, " ")]
+    kept = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = Counter(map(tuple, kept.collect()))
+    assert found == Counter([(1, "a b"), (3, "x"), (3, "y"), (None, "n"), (4, " ")])
+
+
 # ---------------------------------------------------------------- mixing
 
 
