@@ -2,8 +2,9 @@
 
 Strict patterns give the seed entities. The words on the left of seeds are lexical patterns; strings of a looser shape are
 candidates. Patterns and instances (entities and candidates) form a graph that is scored in rounds: a pattern is as good as the
-share of its instances that are entities, an instance as good as its patterns together. Candidates that good patterns
-discover become further entities; the seeds always stay.
+share of entities among its instances that are judged, an instance as good as its patterns together. Strings of a kind's shape
+that fail its check are judged not to be entities; candidates that no pattern has discovered yet are not judged. Candidates that
+good patterns discover become further entities, until a round finds no more; the seeds always stay.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ CANDIDATES = {
     "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![+0-9(.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9-])",
 }
-#: A pattern needs so many different entities, and this share of entities among its instances; a candidate this score.
+#: A pattern needs so many different entities, and this share of entities among its judged instances; a candidate this score.
 LEAST_SEEDS, LEAST_PATTERN, LEAST_SCORE = 3, 0.8, 0.9
-ROUNDS = 2
 SALTS = 64
 
 
@@ -99,12 +99,11 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _of_kind(k: int, matches: Column) -> Column:
-    good = F.filter(matches, lambda x: _valid(KINDS[k], x["value"]))
-    return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left")))
+    return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), F.coalesce(_valid(KINDS[k], x["value"]), F.lit(False)).alias("good")))
 
 
 def _found(text: Column, kinds: dict[str, str], seeds: bool) -> Column:
-    """All valid matches of the kinds in one array, with the kind's place in KINDS."""
+    """All matches of the kinds in one array, with the kind's place in KINDS and whether they are valid."""
     arrays = []
     for k, (kind, regex) in enumerate(kinds.items()):
         there = F.contains(text, F.lit(NEEDS[kind])) if seeds and NEEDS[kind] else F.contains(text, F.lit("at")) if kind == "email" else text.rlike("[0-9]")
@@ -115,40 +114,52 @@ def _found(text: Column, kinds: dict[str, str], seeds: bool) -> Column:
 
 
 def _entities(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, seeds, loose: the entities and the candidates of each row."""
+    """row_key, doc_id, seeds, loose, wrong: the entities and the candidates of each row, and what has their shape only."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), text.alias("text"))
-    rows = rows.select("doc_id", "row_key", _found(F.col("text"), SEEDS, True).alias("seeds"), _found(F.col("text"), CANDIDATES, False).alias("loose"))
+    rows = rows.select("doc_id", "row_key", _found(F.col("text"), SEEDS, True).alias("strict"), _found(F.col("text"), CANDIDATES, False).alias("loose"))
+    rows = rows.select("doc_id", "row_key", F.filter("strict", lambda x: x["good"]).alias("seeds"), "loose", F.filter("strict", lambda x: ~x["good"]).alias("wrong"))
     apart = lambda x: ~F.exists("seeds", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    return rows.withColumn("loose", F.filter("loose", apart))
+    rows = rows.withColumn("wrong", F.concat("wrong", F.filter("loose", lambda x: ~x["good"])))
+    rows = rows.withColumn("loose", F.filter("loose", lambda x: x["good"] & apart(x)))
+    return rows.withColumn("wrong", F.transform("wrong", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["left"].alias("left"))))
 
 
 def _instances(found: DataFrame) -> DataFrame:
-    """The graph: distinct (kind, value, pattern), with whether the instance is a seed."""
-    rows = found.select(F.explode(F.concat(F.transform("seeds", lambda x: F.struct(x.alias("x"), F.lit(True).alias("seed"))), F.transform("loose", lambda x: F.struct(x.alias("x"), F.lit(False).alias("seed"))))).alias("e"))
-    pattern = F.xxhash64(F.col("e.x.kind"), F.col("e.x.left"))
-    instance = F.xxhash64(F.col("e.x.kind"), F.col("e.x.value"))
-    rows = rows.where(F.col("e.x.left") != "").select(pattern.alias("pattern"), instance.alias("instance"), F.col("e.seed").alias("seed"))
-    return rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    """The graph: distinct (kind, value, pattern), with whether the instance is a seed, and whether it is no entity."""
+    named = lambda array, seed, wrong: F.transform(array, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["left"].alias("left"), F.lit(seed).alias("seed"), F.lit(wrong).alias("wrong")))
+    rows = found.select(F.explode(F.concat(named("seeds", True, False), named("loose", False, False), named("wrong", False, True))).alias("e"))
+    pattern = F.xxhash64(F.col("e.kind"), F.col("e.left"))
+    instance = F.xxhash64(F.col("e.kind"), F.col("e.value"))
+    rows = rows.where(F.col("e.left") != "").select(pattern.alias("pattern"), instance.alias("instance"), F.col("e.seed").alias("seed"), F.col("e.wrong").alias("wrong"))
+    return rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("wrong").alias("wrong"))
 
 
 def discovered(found: DataFrame) -> DataFrame:
     """(pattern): the patterns that hold after the rounds; (pattern, instance) pairs score by all patterns of the instance.
 
     Returns (instance, score) of the candidates with at least one pattern that holds. The tables are keyed by hash of a pattern
-    or of an instance, either of which may be in any part of the rows: lookups are salted.
+    or of an instance, either of which may be in any part of the rows: lookups are salted. Entities only become more, so the
+    rounds end: at the first that discovers none.
     """
-    graph = cut(_instances(found).withColumn("score", F.col("seed").cast("double")))
-    for _ in range(ROUNDS):
-        patterns = graph.groupBy("pattern").agg(F.count(F.when(F.col("score") >= LEAST_SCORE, 1)).alias("entities"), (F.sum("score") / F.count("*")).alias("share"))
-        good = patterns.where((F.col("entities") >= LEAST_SEEDS) & (F.col("share") >= LEAST_PATTERN)).select("pattern", F.lit(True).alias("holds"), (F.col("share") * (1 - 1 / (1.0 + F.col("entities")))).alias("worth"))
+    graph = cut(_instances(found))
+    loose = cut(graph.where(~F.col("seed") & ~F.col("wrong")).select("pattern", "instance"))
+    judged = graph.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count(F.when(F.col("wrong"), 1)).alias("wrong"))
+    judged = cut(judged.where("seeds > 0 or wrong > 0"))
+    accepted = loose.select("instance", F.lit(0.0).alias("score")).limit(0)
+    n = 0
+    while True:
+        more = salted_lookup(loose, accepted, "instance", F.col("pattern"), SALTS).groupBy("pattern").agg(F.count("*").alias("more"))
+        known = judged.join(more, "pattern", "full").select("pattern", (F.coalesce("seeds", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("entities"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
+        patterns = known.where("entities > 0").withColumn("share", F.col("entities") / (F.col("entities") + F.col("wrong")))
+        good = patterns.where((F.col("entities") >= LEAST_SEEDS) & (F.col("share") >= LEAST_PATTERN)).select("pattern", (F.col("share") * (1 - 1 / (1.0 + F.col("entities")))).alias("worth"))
         # An instance is missed only by all its good patterns together.
-        told = salted_lookup(graph.where(~F.col("seed")), good, "pattern", F.col("instance"), SALTS)
-        scores = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999)))))).alias("told"))
-        known = salted_lookup(graph.where(~F.col("seed")).drop("score"), scores, "instance", F.col("pattern"), SALTS).select("pattern", "instance", F.col("told").alias("score"))
-        rest = graph.where(~F.col("seed")).select("pattern", "instance").join(scores.select("instance"), "instance", "left_anti").select("pattern", "instance", F.lit(0.0).alias("score"))
-        graph = cut(graph.where("seed").unionByName(known.unionByName(rest).withColumn("seed", F.lit(False))))
-    return graph.where(~F.col("seed") & (F.col("score") >= LEAST_SCORE)).select("instance", "score").distinct()
+        told = salted_lookup(loose, good, "pattern", F.col("instance"), SALTS)
+        scores = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999)))))).alias("score"))
+        accepted = cut(scores.where(F.col("score") >= LEAST_SCORE))
+        before, n = n, accepted.count()
+        if n == before:
+            return accepted
 
 
 def _listed(spans: Column) -> Column:

@@ -309,6 +309,20 @@ def test_pii_discovers_by_context(spark):
     assert rows[21].spans == "" == rows[22].spans
 
 
+@pytest.mark.parametrize("unseen", [9, 20])
+def test_pii_discovers_many_and_in_chains(spark, unseen):
+    texts = [f"so tel: +1 (988) 555-3{i:03d} ok" for i in range(20)]
+    texts += [f"hi tel: (988) 555-4{i:03d} ok" for i in range(unseen)]
+    # What one pattern discovers makes the next one hold, four patterns long.
+    for k in range(1, 4):
+        texts += [f"hi {'tel:' if k == 1 else f'p{k - 1}'} (977) 555-{k}{i:03d} and p{k} (977) 555-{k}{i:03d} ok" for i in range(12)]
+    texts += ["hi p3 (966) 555-9999 ok"]
+    mixed = [f"so fax: +1 (944) 555-3{i:03d} ok" for i in range(10)] + [f"so fax: +{i:03d}11 ok" for i in range(9)] + ["so fax: (944) 555-4111 ok"]
+    rows = {r.doc_id: r for r in pii.find(docs_of(spark, texts + mixed)).collect()}
+    assert all(rows[i].n_discovered == (0 if i < 20 else 1 if i < 20 + unseen or i == len(texts) - 1 else 2) for i in range(len(texts)))
+    assert rows[len(texts + mixed) - 1].n_discovered == 0  # half of what follows fax: is judged wrong
+
+
 # ---------------------------------------------------------------- chat
 
 
