@@ -1,6 +1,7 @@
 """Functions and kernels: fixed cases, and plain slow versions on random strings."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,12 +17,34 @@ def values(spark, rows, schema, *columns):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
 
 
-def test_classifier_cases(spark):
-    cases = [("100M", 100, 0, 0, 0, 100), ("*", 100, 0, 0, 0, -1), ("20S80M", 100, -1, 20, 0, 80), ("80M20S", 100, 1, 80, 79, 80), ("40M2I58M", 100, 0, 0, 0, 98), ("40M2D58M", 98, 0, 0, 0, 100), ("10S30M2I40M20S", 102, 10, 10, 20, 70), ("30M100N40M", 70, 0, 0, 0, -2), ("5H95M", 95, -1, 5, 0, 95), ("bad", 10, 0, 0, 0, -2), ("", 10, 0, 0, 0, -2)]
-    got = values(spark, [c[:2] for c in cases], "c string, n int", C.classify(F.col("c"), F.col("n")).alias("k"))
-    assert [tuple(k) for (k,) in got] == [c[2:] for c in cases]
-    relaxed = values(spark, [("99M", 100), ("10S5D20S", 30), ("10S5=5X20S", 40)], "c string, n int", C.classify(F.col("c"), F.col("n"), relaxed=True).alias("k"))
-    assert [tuple(k) for (k,) in relaxed] == [(0, 0, 0, -1), (10, 10, 20, 5), (10, 10, 20, 10)]
+def slow_class(cigar, read_length, relaxed):
+    """The classifier's rules, one after the other, on one string."""
+    if cigar == "*":
+        return (0, 0, 0, -1)
+    parts = re.findall(r"(\d+)([MIDNSHP=X])", cigar)
+    if not parts or "".join(n + op for n, op in parts) != cigar:
+        return (0, 0, 0, -2)
+    n, word = [int(x) for x, _ in parts], "".join(op for _, op in parts).replace("H", "S")
+    under = sum(k for k, op in zip(n, word, strict=True) if op in ("MD=X" if relaxed else "MD"))
+    ends = word[0] + word[-1]
+    if len(word) == 1:
+        return (0, 0, 0, read_length if word == "M" and (not relaxed or n[0] == read_length) else -1)
+    if len(word) == 2:
+        return {"MS": (1, n[0], n[0] - 1, n[0]), "SM": (-1, n[0], 0, n[1])}.get(word, (0, 0, 0, -2))
+    if len(word) == 3:
+        if ends == "SS" and (relaxed or word == "SMS"):
+            return (10, n[0], n[2], n[1])
+        return {"MDM": (0, 0, 0, read_length + n[1]), "MIM": (0, 0, 0, read_length - n[1])}.get(word, (0, 0, 0, -2))
+    return {"MS": (1, read_length - n[-1], under - 1, under), "SM": (-1, n[0], 0, under), "MM": (0, 0, 0, under), "SS": (10, n[0], n[-1], under)}.get(ends, (0, 0, 0, -2))
+
+
+def test_classifier_follows_the_rules(spark):
+    rng = random.Random(5)
+    cases = [(c, 90) for c in ("*", "", "M", "7", "9M4", "90M", "89M", "6H84M")]
+    cases += [("".join(f"{rng.randrange(1, 60)}{rng.choice('MMMMSSHDIN=XP')}" for _ in range(rng.randrange(1, 7))), rng.randrange(50, 160)) for _ in range(400)]
+    for relaxed in (False, True):
+        got = values(spark, cases, "c string, n int", C.classify(F.col("c"), F.col("n"), relaxed=relaxed).alias("k"))
+        assert [tuple(k) for (k,) in got] == [slow_class(c, n, relaxed) for c, n in cases]
 
 
 def test_cigar_functions(spark):
@@ -40,25 +63,47 @@ def test_sequences_and_keys(spark):
     assert values(spark, [('gene_id "g1"; transcript_id "t1";',), ("x",)], "a string", keys.quoted_attribute(F.col("a"), "transcript_id")) == [("t1",), (None,)]
 
 
-OUTWARD = [
-    ("gap", [(97, 94955296, 60, "80M70S"), (145, 94953252, 60, "97M53S")], True, True),
-    ("linear", [(65, 100, 60, "150M"), (145, 300, 60, "150M")], False, False),
-    ("low", [(97, 1000, 60, "100M50S"), (145, 500, 4, "100M50S")], False, None),
-    ("same", [(97, 100, 60, "131M19S"), (145, 100, 60, "131M19S")], True, None),
-    ("split", [(97, 32740922, 1, "31S99M149D20M"), (2145, 32740654, 34, "32M118S"), (145, 32716883, 60, "91M59S")], False, True),
-    ("relaxed", [(97, 29650146, 60, "150M"), (145, 29649893, 1, "10S115M134D25M")], False, True),
-]
+def slow_outward(x, y, least=19):
+    """Whether two records (flag, pos, mapq, cigar) face outward, from their spans and end clips."""
+    if (x[0] ^ y[0]) & 16 == 0:
+        return False
+    left, right = (x, y) if x[0] & 16 else (y, x)  # the reverse record must lie left
 
+    def span(r):
+        parts = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSH])", r[3])]
+        clips = [n if op in "SH" else 0 for n, op in (parts[0], parts[-1])]
+        return r[1], r[1] + sum(n for n, op in parts if op in "MDN"), *clips
 
-def test_outward_cases(spark):
-    rows = [(name, f, "chr1", p, q, c, "A" * 150, k) for name, records, _, _ in OUTWARD for k, (f, p, q, c) in enumerate(records)]
+    (a1, b1, five1, three1), (a2, b2, five2, three2) = span(left), span(right)
+    if (a1, b1) == (a2, b2):
+        return min(three1, three2, three1 - five2, three2 - five1) >= least
+    return a2 - a1 >= least and b2 - b1 >= least
+
+
+def outward_reads(seed, n=300):
+    """Reads of one record of each mate, and of some a supplementary one: at near places, so that many rules are met."""
+    rng = random.Random(seed)
+    cigar = lambda: rng.choice([f"{k}M" for k in (60, 61, 80)] + ["40M20S", "22S38M", "25S35M20S", "30M15D30M", "20M90N40M"])
+    out = {}
+    for i in range(n):
+        at = rng.randrange(500, 600)
+        mate = lambda bit: (1 + bit + rng.choice((0, 16)), at + rng.choice((0, 0, 18, 19, 20, 60, -18, -19, -60)), rng.choice((0, 9, 10, 60)), cigar())
+        out[f"q{i}"] = [mate(64), mate(128)] + ([mate(rng.choice((64, 128)) + 2048)] if i % 3 == 0 else [])
+    return out
+
+
+def test_outward_pairs_follow_the_rules(spark):
+    reads = outward_reads(9)
+    rows = [(name, f, "chr2", p, q, c, "A" * 60, k) for name, records in reads.items() for k, (f, p, q, c) in enumerate(records)]
     table = spark.createDataFrame(rows, "read_id string, flag int, chrom string, pos int, mapq int, cigar string, seq string, file_ord long")
     conf = EngineConf()
-    assert {r.read_id for r in segments.outward_primary(table, conf).collect()} == {n for n, _, primary, _ in OUTWARD if primary}
-    any_of = {r.read_id for r in segments.outward_any(table, conf).collect()}
-    assert all((name in any_of) == wanted for name, _, _, wanted in OUTWARD if wanted is not None)
-    strict = {r.read_id for r in segments.outward_any(table, EngineConf(outward_mode="supplementary")).collect()}
-    assert "split" in strict and "relaxed" not in strict
+    primary = {n for n, r in reads.items() if min(r[0][2], r[1][2]) >= conf.min_mapq and slow_outward(r[0], r[1])}
+    crossed = {n: [(x, y) for x in r for y in r if x[0] & 64 and y[0] & 128 and slow_outward(x, y)] for n, r in reads.items()}
+    assert {r.read_id for r in segments.outward_primary(table, conf).collect()} == primary
+    for mode, mapped in (("relaxed", max), ("supplementary", min)):
+        wanted = {n for n, found in crossed.items() if any(mapped(x[2], y[2]) >= conf.min_mapq for x, y in found)}
+        assert len(wanted) > 10 and {r.read_id for r in segments.outward_any(table, EngineConf(outward_mode=mode)).collect()} == wanted
+    assert len(primary) > 5
     assert segments.outward_any(table, EngineConf(outward_mode="primary")).count() == 0
 
 
