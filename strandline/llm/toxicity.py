@@ -8,15 +8,16 @@ all tokens of a slice at once, as prefix products of 2 x 2 matrices in blocks, a
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, tidy, utf8
@@ -24,42 +25,51 @@ from .langid import held_out
 
 #: A word's features: the whole word and its beginnings and ends of these many bytes, in 2 ** LOG2 weights.
 BEGINNINGS, ENDS, LOG2 = (3, 4, 5, 6), (3, 4), 18
-#: A word's bytes beyond this count only by their number.
-WIDE = 32
 #: The bounds of the training sample: toxic rows, other rows, and the bytes of a sampled text.
 TOXIC_ROWS, OTHER_ROWS, MOST_BYTES = 900, 1500, 20_000
 #: A token is labelled toxic if a beginning of its word is this many times as frequent in toxic documents, after so many different
 #: words, and after as many as this share of the toxic documents.
 RATIO, LEAST_CONTEXTS, LEAST_SHARE = 12.0, 4, 0.01
+#: Documents, copies not counted, that a telling beginning must stand in; parts of the sample that take turns in being held back.
+LEAST_DOCUMENTS, FOLDS = 3, 3
+#: The chance that any beginning of the sample is taken for telling that is not.
+DOUBT = 0.05
+#: Steps of the fit, and the parts of the sample that they take in turn.
+STEPS, TURNS = 80, 4
 #: Words whose evidence a task remembers.
 REMEMBERED = 200_000
 #: ASCII letters in lower case; other ASCII parts tokens.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+")
+#: A character of a script that writes without spaces (Thai to Lao, CJK and its extensions) is a token of its own.
+CHARACTER = rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe2[\xba-\xbf][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2}"
+ALONE, WIDE = re.compile(CHARACTER), re.compile(rb"[\xe0\xe2-\xe9\xef\xf0]")
+TOKEN = re.compile(rb"%s|(?:(?!%s)[A-Za-z\x80-\xff])+" % (CHARACTER, CHARACTER))
+
+
+def fold(text: bytes) -> bytes:
+    """The tokens of a text in lower case A-Z, with one space between."""
+    text = text.translate(FOLD)
+    if WIDE.search(text):
+        text = ALONE.sub(rb" \g<0> ", text)
+    return b" ".join(text.split())
 
 
 def features(words: list[bytes]) -> np.ndarray:
-    """Rows of feature numbers, one row a word."""
+    """Rows of feature numbers, one row a word: hashes of all its bytes, of its beginnings and of its ends."""
     n = len(words)
+    out = np.zeros((n, 1 + len(BEGINNINGS) + len(ENDS)), np.uint64)
     length = np.fromiter(map(len, words), np.int64, n)
-    flat = np.frombuffer(b"".join(w[:WIDE].ljust(WIDE, b"\0") for w in words), np.uint8).reshape(n, WIDE).astype(np.uint64)
-    out = np.empty((n, 1 + len(BEGINNINGS) + len(ENDS)), np.uint64)
-    state = np.full(n, 14695981039346656037, np.uint64)
-    k = 1
-    for i in range(WIDE):
-        inside = i < length
-        state = np.where(inside, (state ^ flat[:, i]) * np.uint64(1099511628211), state)
-        if i + 1 in BEGINNINGS:
-            out[:, k] = np.where(length >= i + 1, state * np.uint64(2 * i + 3), 0)
-            k += 1
-    out[:, 0] = (state ^ length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    at = np.minimum(length, WIDE)
-    for m in ENDS:
-        state = np.full(n, 1469598103934665603, np.uint64)
-        for i in range(m):
-            state = (state ^ flat[np.arange(n), np.maximum(at - m + i, 0)]) * np.uint64(1099511628211)
-        out[:, k] = np.where(length >= m, state * np.uint64(2 * m + 101), 0)
-        k += 1
+    start = np.cumsum(length) - length
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
+    if not n or not length.min():
+        raise ValueError("words have bytes")
+    power = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()) - 1, np.uint64(1099511628211))))
+    out[:, 0] = np.add.reduceat(flat * power[np.arange(len(flat)) - np.repeat(start, length)], start) ^ length.astype(np.uint64)
+    for k, m in enumerate((*BEGINNINGS, *ENDS), 1):
+        at = start if k <= len(BEGINNINGS) else start + length - m
+        long = length >= m
+        out[long, k] = (flat[at[long, None] + np.arange(m)] * power[:m] if m <= len(power) else np.zeros((0, m), np.uint64)).sum(axis=1) * np.uint64(2 * (100 * (k > len(BEGINNINGS)) + m) + 3) + np.uint64(m)
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - LOG2)).astype(np.int64)
 
 
@@ -146,7 +156,7 @@ class Tokens:
     """The tokens of texts, in a row: distinct words, the word of each token, its document, whether it is first or last."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        parts = pc.ascii_split_whitespace(pa.array([b" ".join(x.translate(FOLD).split()) for x in texts], pa.binary()).cast(pa.string(), safe=False))
+        parts = pc.ascii_split_whitespace(pa.array([fold(x) for x in texts], pa.binary()).cast(pa.string(), safe=False))
         flat = pc.list_flatten(parts).cast(pa.binary())
         self.doc = pc.list_parent_indices(parts).to_numpy()
         keep = pc.greater(pc.binary_length(flat), 0)
@@ -161,66 +171,71 @@ class Tokens:
 def _labelled_tokens(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """The label of each token, from its document's label and where its word's beginnings are found.
 
-    A beginning counts once for each different word before it, so that copies of a passage are not taken for evidence.
+    A beginning counts once for each different word before it, and that for the first document which has the two, so that copies
+    of a passage are not taken for evidence, nor a word that one document repeats.
     """
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
     sizes = [max(1, int((toxic[tokens.doc] == k).sum())) for k in (False, True)]
     beginnings = [[w] + [w[:k] for k in BEGINNINGS[1:] if len(w) > k] for w in tokens.words]
-    before = np.where(tokens.first, -1, np.append(-1, tokens.word[:-1]))
+    before = np.where(tokens.first, -1, np.append(-1, tokens.word[:-1]))[: len(tokens.doc)]
+    seen: tuple[dict, dict] = ({}, {})
     for label in (0, 1):
-        mine = toxic[tokens.doc] == bool(label)
-        pairs = np.unique(np.stack([before[mine], tokens.word[mine]]), axis=1)
-        seen: dict[bytes, set] = {}
-        for p, w in pairs.T.tolist():
+        mine = np.flatnonzero(toxic[tokens.doc] == bool(label))
+        pairs, first = np.unique(np.stack([before[mine], tokens.word[mine]]), axis=1, return_index=True)
+        for (p, w), d in zip(pairs.T.tolist(), tokens.doc[mine][first].tolist(), strict=True):
             for b in beginnings[w]:
-                seen.setdefault(b, set()).add(p)
-        counts[label].update({b: len(x) for b, x in seen.items()})
+                contexts = seen[label].setdefault(b, {})
+                contexts[p] = min(d, contexts.get(p, d))
     least = max(LEAST_CONTEXTS, LEAST_SHARE * int(toxic.sum()))
+    # By chance a context is a toxic document's as often as any token is; among so many beginnings, none should pass by chance.
+    chance = sizes[1] / sum(sizes)
+    beyond_chance = np.log((len(seen[0]) + len(seen[1])) / DOUBT)
 
     def telling(b: bytes) -> bool:
-        return counts[1][b] >= least and (counts[1][b] + 0.1) / sizes[1] > RATIO * (counts[0][b] + 0.1) / sizes[0]
+        yes = seen[1].get(b, {})
+        if len(yes) < least or len(set(yes.values())) < LEAST_DOCUMENTS:
+            return False
+        k, n = len(yes), len(yes) + len(seen[0].get(b, {}))
+        if k / sizes[1] <= RATIO * (n - k) / sizes[0]:
+            return False
+        return k * np.log(k / n / chance) + ((n - k) * np.log((n - k) / n / (1 - chance)) if n > k else 0.0) > beyond_chance
 
     word = np.array([any(map(telling, x)) for x in beginnings], bool)
     return (word[tokens.word] & toxic[tokens.doc]).astype(np.float64)
 
 
-def fit(texts: list[bytes], labels: list[int], share: float | None = None, steps: int = 60) -> Model:
-    """A model of whole texts and their labels: the likelihood of the labelled tokens by adaptive gradient steps, then the scale
-    of the document's score; share is that of toxic labels among all. With labels of one kind only, every score is their share."""
-    toxic = np.array(labels, bool)
-    model = Model(base=float(toxic.mean()) if len(toxic) else 0.0)
-    if not toxic.any() or toxic.all():
-        return model
+def _fit_field(texts: list[bytes], toxic: np.ndarray, base: float) -> Model:
+    """The field: the likelihood of the labelled tokens by adaptive gradient steps, each on one part of the texts in turn."""
+    model = Model(base=base)
     tokens = Tokens(texts)
-    if not len(tokens.doc):
+    if not len(tokens.doc) or not toxic.any() or toxic.all():
         return model
-    y = _labelled_tokens(tokens, toxic)
-    rows = features(tokens.words)
-    first, last, n_words = tokens.first, tokens.last, len(tokens.words)
+    labels, rows = _labelled_tokens(tokens, toxic), features(tokens.words)
     sums = {k: np.full(1 << LOG2, 1e-6) for k in ("own", "before", "after")}
     move_sum, bias_sum = np.full((2, 2), 1e-8), 1e-8
-    inner = ~first
-    prior = y[:-1][inner[1:]]
-    later = y[1:][inner[1:]]
-    seen = np.array([[((1 - prior) * (1 - later)).sum(), ((1 - prior) * later).sum()], [(prior * (1 - later)).sum(), (prior * later).sum()]])
-    n = max(1.0, y.sum())
-    for _ in range(steps):
-        e = model.evidence(model.word_evidence(rows)[:, tokens.word], first, last)
+    turns = [np.flatnonzero(tokens.doc % TURNS == t) for t in range(TURNS)]
+    parts = []
+    for at in (t for t in turns if len(t)):
+        y, first, last = labels[at], tokens.first[at], tokens.last[at]
+        used, word = np.unique(tokens.word[at], return_inverse=True)
+        inner = ~first
+        prior, later = y[:-1][inner[1:]], y[1:][inner[1:]]
+        seen = np.array([[((1 - prior) * (1 - later)).sum(), ((1 - prior) * later).sum()], [(prior * (1 - later)).sum(), (prior * later).sum()]])
+        parts.append((y, first, last, rows[used], word, inner, seen, max(1.0, y.sum())))
+    for step in range(STEPS):
+        y, first, last, mine, word, inner, seen, n = parts[step % len(parts)]
+        e = model.evidence(model.word_evidence(mine)[:, word], first, last)
         f, b = model.passes(e, first, last)
         p = f * b / (f * b + (1 - f) * (1 - b))
         wrong = (p - y) / n
         shifted = (wrong, np.append(np.where(first[1:], 0, wrong[1:]), 0.0), np.append(0.0, np.where(last[:-1], 0, wrong[:-1])))
         for name, g in zip(("own", "before", "after"), shifted, strict=True):
-            by_word = np.bincount(tokens.word, g, n_words)
-            grad = np.bincount(rows.ravel(), np.repeat(by_word, rows.shape[1]), 1 << LOG2) + 1e-5 * getattr(model, name)
+            by_word = np.bincount(word, g, len(mine))
+            grad = np.bincount(mine.ravel(), np.repeat(by_word, mine.shape[1]), 1 << LOG2) + 1e-5 * getattr(model, name)
             sums[name] += grad**2
             setattr(model, name, getattr(model, name) - (0.5 if name == "own" else 0.1) * grad / np.sqrt(sums[name]))
         # Expected moves: the two sides of each pair of neighbours, and the move between.
-        x = np.exp(e)
-        w = np.exp(model.moves)
-        left = np.stack([1 - f, f])[:, :-1]
-        right = np.stack([1 - b, b * x])[:, 1:]
-        both = left[:, None] * w[:, :, None] * right[None]
+        x, w = np.exp(e), np.exp(model.moves)
+        both = np.stack([1 - f, f])[:, None, :-1] * w[:, :, None] * np.stack([1 - b, b * x])[None, :, 1:]
         both = (both / both.sum(axis=(0, 1)))[:, :, inner[1:]].sum(axis=2)
         grad = (both - seen) / n
         move_sum += grad**2
@@ -231,8 +246,51 @@ def fit(texts: list[bytes], labels: list[int], share: float | None = None, steps
     model.learned = True
     for name in sums:
         setattr(model, name, getattr(model, name).astype(np.float32))
-    e = model.evidence(model.word_evidence(rows)[:, tokens.word], first, last)
-    z = model.document(model.marginals(e, first, last), tokens.doc, len(texts))
+    return model
+
+
+def _evidence_of(model: Model, texts: list[bytes]) -> np.ndarray:
+    tokens = Tokens(texts)
+    m = np.zeros(0)
+    if len(tokens.doc):
+        m = model.marginals(model.evidence(model.word_evidence(features(tokens.words))[:, tokens.word], tokens.first, tokens.last), tokens.first, tokens.last)
+    return model.document(m, tokens.doc, len(texts))
+
+
+Job = Callable[[int], "Model | np.ndarray | None"]
+
+
+def fit(texts: list[bytes], labels: list[int], share: float | None = None, run: Callable[[Job, int], list] | None = None) -> Model:
+    """A model of whole texts and their labels; share is that of toxic labels among all.
+
+    The field is fitted on all texts. The scale of the document's score is fitted on evidence of texts that the field has not seen:
+    FOLDS times a part of them is held back from a field of its own. Equal texts are held back together. With labels of one kind
+    only, every score is their share. ``run`` does the FOLDS + 1 fits, by their numbers; here, one after the other, if none is given.
+    """
+    toxic = np.array(labels, bool)
+    model = Model(base=float(toxic.mean()) if len(toxic) else 0.0)
+    if not toxic.any() or toxic.all():
+        return model
+    part = np.array([zlib.crc32(x) % FOLDS for x in texts])
+
+    def job(k: int) -> Model | np.ndarray | None:
+        """The field of all texts, or the evidence of those of part k by a field of the others."""
+        if k == FOLDS:
+            return _fit_field(texts, toxic, model.base)
+        rest, mine = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        apart = _fit_field([texts[i] for i in rest], toxic[rest], model.base)
+        return _evidence_of(apart, [texts[i] for i in mine]) if apart.learned and len(mine) else None
+
+    *apart, model = run(job, FOLDS + 1) if run else [job(k) for k in range(FOLDS + 1)]
+    if not model.learned:
+        return model
+    z = np.full(len(texts), np.nan)
+    for k, found in enumerate(apart):
+        if found is not None:
+            z[part == k] = found
+    unseen = np.isnan(z)  # where the others of a part teach nothing
+    if unseen.any():
+        z[unseen] = _evidence_of(model, [texts[i] for i in np.flatnonzero(unseen)])
     share = model.base if share is None else share
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     x = np.stack([z, np.ones_like(z)])
@@ -244,6 +302,25 @@ def fit(texts: list[bytes], labels: list[int], share: float | None = None, steps
     return model
 
 
+def _on_executors(spark: SparkSession) -> Callable[[Job, int], list]:
+    """Runs numbered jobs as tasks; what they need, the bounded sample, goes along with them."""
+
+    def run(job: Job, n: int) -> list:
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    made = job(k)
+                    # A class that went to a worker by value is another one there, so a model goes back as its fields.
+                    plain = pickle.dumps(vars(made) if isinstance(made, Model) else made)
+                    yield pa.record_batch([pa.array([k], pa.int64()), pa.array([plain], pa.binary())], names=["k", "made"])
+
+        rows = spark.range(0, n, 1, n).mapInArrow(tidy(kernel), "k long, made binary").collect()
+        made = [pickle.loads(r.made) for r in sorted(rows, key=lambda r: r.k)]
+        return [Model(**x) if isinstance(x, dict) else x for x in made]
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     """A model of the rows of labels (doc_id, toxic) outside the held-out fold and their texts.
 
@@ -258,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where((F.octet_length("text") <= MOST_BYTES)).select("doc_id", "text", "__toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit([r.text.encode() for r in rows], [r["__toxic"] for r in rows], share)
+    return fit([r.text.encode() for r in rows], [r["__toxic"] for r in rows], share, _on_executors(docs.sparkSession))
 
 
 SCORES = "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>"
