@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, tidy, utf8
 
 #: n-grams of 1 to ORDER bytes fall into 2 ** LOG2 features.
 ORDER, LOG2 = 3, 13
-#: The bounds of the training sample: rows for each language, rows in all, languages.
-PER_LANGUAGE, MOST_ROWS, MOST_LANGUAGES = 300, 4000, 400
+#: The bounds of the training sample: rows for each label, and rows in all, unless LEAST_ROWS for each label are more.
+PER_LANGUAGE, MOST_ROWS, LEAST_ROWS = 300, 4000, 8
 #: Long texts are counted in stretches of this many bytes.
 STRETCH = 1 << 22
 #: ASCII letters in lower case; other ASCII is a space.
@@ -73,7 +74,7 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index, score and whether ambiguous, for rows of margins."""
-        loss = np.stack([(np.logaddexp(0, -margins * c) * self.trust).sum(axis=1) for c in self.code], axis=1)
+        loss = (np.logaddexp(0, -margins) * self.trust) @ (self.code.T > 0) + (np.logaddexp(0, margins) * self.trust) @ (self.code.T < 0)
         share = np.exp(loss.min(axis=1, keepdims=True) - loss)
         share /= share.sum(axis=1, keepdims=True)
         order = np.sort(share, axis=1)
@@ -96,15 +97,16 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(docs: DataFrame, seed: int = 5) -> Model | None:
     """A model of the labelled rows of docs (doc_id, text, lang) outside the held-out fold; None if there are none.
 
-    It is fitted on a bounded sample: of each of the MOST_LANGUAGES most frequent labels about PER_LANGUAGE rows, at most about
-    MOST_ROWS in all, picked by a hash of doc_id; whole texts are read, and only their features come to the driver.
+    Every label is learned, from a bounded sample: about PER_LANGUAGE rows of each, fewer if there are so many labels that they
+    would be more than MOST_ROWS, but LEAST_ROWS at least (or all that there are). They are picked by a hash of doc_id; whole texts
+    are read, and only their features come to the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.trim("text") != ""))
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    each = min(PER_LANGUAGE, MOST_ROWS // len(counts))
+    each = max(LEAST_ROWS, min(PER_LANGUAGE, MOST_ROWS // len(counts)))
     chance = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     sample = known.where(draw < F.coalesce(F.element_at(chance, F.col("lang")), F.lit(0.0)))
@@ -166,23 +168,32 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def _keep(model: Model | None, least: float):
+    """Batches of (row: struct, text): the rows whose text has a letter and, if there is a model, a language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predict(model)
         for batch in batches:
-            for part in slices(batch, "__text", most_rows=4096):
-                found = pa.Table.from_batches(list(_predict(model)(iter([pa.record_batch([pa.array(range(len(part))), part.column(part.num_columns - 1)], names=["doc_id", "text"])]))))
-                good = pa.compute.and_(pa.compute.not_equal(found["lang_pred"], UNKNOWN), pa.compute.greater_equal(found["score"], least))
-                kept = part.filter(good.combine_chunks())
-                yield pa.record_batch(kept.columns[:-1], names=kept.schema.names[:-1])
+            for part in slices(batch, "text", most_rows=4096):
+                if model is None:
+                    good = np.array([has_letter(x) for x in utf8(part.column(1))], bool)
+                else:
+                    asked = pa.record_batch([pa.array(range(len(part)), pa.int64()), part.column(1)], names=["doc_id", "text"])
+                    found = pa.Table.from_batches(list(predict(iter([asked]))))
+                    beyond_chance = found["score"].to_numpy() * len(model.languages) - 1
+                    named = pa.compute.not_equal(found["lang_pred"], UNKNOWN).to_numpy()
+                    good = named & ((len(model.languages) < 2) | (beyond_chance >= least * (len(model.languages) - 1)))
+                yield pa.record_batch([part.column(0).filter(pa.array(good, pa.bool_()))], names=["row"])
 
     return run
 
 
-def keep_identified(docs: DataFrame, model: Model | None = None, least: float = 0.3) -> DataFrame:
-    """docs without rows that have no letter or whose best language has a share under least; all columns stay.
+def keep_identified(docs: DataFrame, model: Model | None = None, least: float = 0.1) -> DataFrame:
+    """docs without rows that have no letter or that are like no language that the labels teach; all columns stay, whatever their names.
 
-    If no row is labelled there is no model, and every row stays.
+    A text is like no language if its best language's share is above chance, 1 in all languages, by less than ``least`` of the way
+    from chance to certainty. If no row is labelled there is no model: then only rows without a letter go. Rows go through whole, so
+    nulls in other columns, null and repeated ids stay as they are. An empty table gives an empty one.
     """
     model = model or train(docs)
-    if model is None:
-        return docs
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(tidy(_keep(model, least)), docs.schema)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", docs.schema, False)])
+    return rows.mapInArrow(tidy(_keep(model, least)), schema).select("row.*")

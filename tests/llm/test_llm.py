@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, components, embedding_join, exact_dedup, langid, mixing, near_texts, pii, repeated_spans, sentencepiece, simhash, toxicity
+from strandline.llm import chat, components, embedding_join, exact_dedup, langid, mixing, near_texts, pii, queries, repeated_spans, sentencepiece, simhash, toxicity
 from strandline.llm.queries import MODEL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -444,10 +444,45 @@ def test_language_id(spark):
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and set(range(n)) <= {r.doc_id for r in kept.collect()} and not {n, n + 1, n + 2} & {r.doc_id for r in kept.collect()}
     nothing = docs.withColumn("lang", F.lit(None).cast("string"))
-    assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"} and langid.keep_identified(nothing).count() == n + 5
+    assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
+    assert {r.doc_id for r in langid.keep_identified(nothing).collect()} == {*range(n), n + 3, n + 4}  # what has a letter
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ROWS", 40)
+    monkeypatch.setattr(langid, "LEAST_ROWS", 5)
+    rng = random.Random(14)
+    stems = [["".join(rng.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(4)] for _ in range(30)]
+    lang = {i: f"l{i % 30:02}" for i in range(900)}
+    docs = docs_of(spark, [" ".join(rng.choice(stems[i % 30]) for _ in range(30)) for i in range(900)], lang=lang)
+    rows = langid.identify(docs).collect()
+    assert {r.lang_pred for r in rows} == set(lang.values()) and sum(r.lang_pred == lang[r.doc_id] for r in rows) > 850
+
+
+def test_decoding_takes_the_least_weighted_loss():
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b", "c", "d"], langid.codewords(4), None, None, rng.random(7))
+    margins = rng.normal(size=(20, 7))
+    loss = np.array([[sum(t * np.log1p(np.exp(-m * c)) for m, c, t in zip(row, code, model.trust, strict=True)) for code in model.code] for row in margins])
+    best, score, unsure = model.decode(margins)
+    assert (best == loss.argmin(axis=1)).all() and np.allclose(score, np.exp(-loss.min(axis=1)) / np.exp(-loss).sum(axis=1))
+    share = np.sort(np.exp(-loss) / np.exp(-loss).sum(axis=1, keepdims=True), axis=1)
+    assert (unsure == (share[:, -1] - share[:, -2] < model.margin)).all()
+
+
+def test_keep_identified_leaves_rows_as_they_are(spark):
+    docs, _, n = language_docs(spark)
+    odd = docs.where("doc_id < 6").withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string"))
+    both = docs.unionByName(odd).unionByName(docs.where("doc_id = 7")).select(F.lit(1).alias("__text"), "*", F.lit("r").alias("row"), F.lit("x").alias("__row"))
+    kept = langid.keep_identified(both)
+    assert kept.columns == both.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, both.where(f"doc_id is null or doc_id < {n} or doc_id > {n + 2}").collect()))
+    level = langid.Model(["a", "b", "c"], langid.codewords(3), np.zeros((1 << langid.LOG2, 3), np.float32), np.zeros(3, np.float32), np.ones(3))
+    assert langid.keep_identified(both, level).count() == 0 and langid.keep_identified(both, level, 0.0).count() == kept.count()
+    assert langid.keep_identified(both.limit(0)).count() == 0
+
+
 def test_codewords_are_apart():
     for k in (1, 2, 3, 4, 5, 9, 40):
         code = langid.codewords(k)
@@ -479,6 +514,28 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_words_are_read_whole():
+    long = b"a" * 40
+    whole = toxicity.features([long + b"b", long + b"c", long[:-1] + b"bb", b"xx" + long + b"quux", b"quux", b"ab", b"abc"])
+    assert len(set(whole[:, 0].tolist())) == 7  # words that differ beyond their first bytes
+    assert whole[3, 6] == whole[4, 6] and whole[3, 5] == whole[4, 5] and (whole[0, 1:5] == whole[1, 1:5]).all()
+    text = "日本語abc déjà ไทย x".encode()
+    assert toxicity.fold(text).decode() == "日 本 語 abc déjà ไ ท ย x"
+    assert [m[0] for m in toxicity.TOKEN.finditer(text)] == toxicity.fold(text).split()
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op8_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    right = sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows)
+    assert right > max(np.mean([labels[r.doc_id] == k for r in rows]) for k in (0, 1)) + 0.03  # of what a constant answer gets
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").collect()}
+    rows = [r for r in queries.op10_langid(spark, sf).collect() if r.held_out and r.doc_id in lang and r.lang_pred != "und"]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in rows) > 0.98 * len(rows)
+
+
 def test_chain_is_the_plain_recursion():
     rng = np.random.default_rng(0)
     for n in (1, 2, 57, 300):
