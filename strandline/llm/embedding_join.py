@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, salted_lookup, tidy
@@ -23,18 +23,21 @@ from .simhash import forest
 COSINE = 0.95
 #: Principal axes of the grid, and the bound of the sample they are fitted on.
 AXES, SAMPLE = 8, 4096
-#: Rows of a block, rows of a run inside it, and intervals that one larger interval holds.
-BLOCK, RUN, FAN_BITS = 2048, 256, 4
+#: Blocks that few vectors make; the least rows of a block, and the most: twice this many vectors are held at once, four times over.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 6, 512, 1 << 15
+#: Rows of a run inside a block, intervals that one larger interval holds, and blocks that one task compares with its own.
+RUN, FAN_BITS, PARTNERS = 256, 4, 3
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each vector as doubles; null where it can have no cosine."""
+    """The bytes of each vector as doubles, scaled by a power of two to a largest component below 1, so that no norm overflows or
+    vanishes; null where there is no cosine."""
     for batch in batches:
         out = []
         for x in batch.column(1):
             v = x.values.to_numpy(zero_copy_only=False).astype(np.float64) if x.is_valid else np.zeros(0)  # a null component is NaN
-            fine = len(v) and np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0
-            out.append(v.tobytes() if fine else None)
+            fine = len(v) and np.isfinite(v).all() and v.any()
+            out.append(np.ldexp(v, -np.frexp(np.abs(v).max())[1]).tobytes() if fine else None)
         yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vector"])
 
 
@@ -43,6 +46,17 @@ def _units(vectors: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _packed(vectors: list[bytes]) -> bytes:
+    """Vectors in a row, in single precision if they are exact in it."""
+    x = np.frombuffer(b"".join(vectors), np.float64)
+    short = x.astype(np.float32)
+    return short.tobytes() if (short == x).all() else x.tobytes()
+
+
+def _unpacked(packed: bytes, n: int, dims: int) -> np.ndarray:
+    return np.frombuffer(packed, np.float32 if len(packed) == 4 * n * dims else np.float64).astype(np.float64).reshape(n, dims)
+
+
 def principal_axes(nodes: DataFrame, n: int) -> np.ndarray:
     """The leading axes of a sample of at most about SAMPLE vectors of the most common length, picked by hash: length x AXES."""
     share = min(1.0, SAMPLE / max(1, n))
@@ -82,14 +96,14 @@ def _cells(axes: np.ndarray, reach: float):
 BOX = [f"lo{k}" for k in range(AXES)] + [f"hi{k}" for k in range(AXES)]
 
 
-def _cut_blocks(axes: np.ndarray):
+def _cut_blocks(axes: np.ndarray, most: int):
     """Blocks of consecutive rows of a sorted partition, each of one vector length."""
 
     def block(rows: list[tuple], at: int) -> pa.RecordBatch:
         node, vector, copies = zip(*rows, strict=True)
         box = _project(_units(list(vector)), axes)
         where = TaskContext.get().partitionId()
-        columns = [pa.array([(where << 24) + at]), pa.array([len(vector[0]) // 8], pa.int32()), pa.array([list(node)], pa.list_(pa.int64())), pa.array([list(copies)], pa.list_(pa.int64())), pa.array([b"".join(vector)], pa.binary())]
+        columns = [pa.array([(where << 24) + at]), pa.array([len(vector[0]) // 8], pa.int32()), pa.array([list(node)], pa.list_(pa.int64())), pa.array([list(copies)], pa.list_(pa.int64())), pa.array([_packed(list(vector))], pa.binary())]
         columns += [pa.array([x]) for x in (*box.min(axis=0), *box.max(axis=0))]
         return pa.record_batch(columns, names=["block", "dims", "node", "copies", "vectors", *BOX])
 
@@ -97,7 +111,7 @@ def _cut_blocks(axes: np.ndarray):
         held, at = [], 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if held and (len(held) == BLOCK or len(row[1]) != len(held[0][1])):
+                if held and (len(held) == most or len(row[1]) != len(held[0][1])):
                     yield block(held, at)
                     held, at = [], at + 1
                 held.append(row)
@@ -107,6 +121,28 @@ def _cut_blocks(axes: np.ndarray):
     return run
 
 
+def _join_blocks(group: pa.Table) -> pa.Table:
+    """Neighbouring blocks as one."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+    whole = np.concatenate([_unpacked(r["vectors"], len(r["node"]), r["dims"]) for r in rows])
+    box = [(min if c[0] == "l" else max)(r[c] for r in rows) for c in BOX]
+    columns = [pa.array([rows[0]["at"]], pa.int64()), pa.array([rows[0]["dims"]], pa.int32()), *(pa.array([[x for r in rows for x in r[c]]], pa.list_(pa.int64())) for c in ("node", "copies")), pa.array([_packed([whole.tobytes()])], pa.binary())]
+    return pa.table([*columns, *(pa.array([x]) for x in box)], names=["block", "dims", "node", "copies", "vectors", *BOX])
+
+
+BLOCK = "block long, dims int, node array<long>, copies array<long>, vectors binary, " + ", ".join(f"{c} double" for c in BOX)
+
+
+def _blocks(placed: DataFrame, axes: np.ndarray, most: int) -> DataFrame:
+    """The sorted rows in blocks of ``most`` to twice as many, whatever the partitions; blocks of one length are numbered in a row."""
+    cuts = cut(placed.mapInArrow(_cut_blocks(axes, most), BLOCK))
+    # One row a block, without its vectors.
+    before = Window.partitionBy("dims").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cuts.select("block", "dims", F.size("node").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    number = F.shiftleft(F.col("dims").cast("long"), 32) + F.floor(F.col("before") / most)
+    return cut(cuts.join(sizes.select("block", number.alias("at")), "block").groupBy("at").applyInArrow(_join_blocks, BLOCK))
+
+
 def _block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
     """(a, b), a <= b: the blocks whose boxes are within reach, by joining intervals of the sequence from large to small."""
     boxes = blocks.select("block", "dims", *BOX)
@@ -120,7 +156,7 @@ def _block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
     gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{k}_a") - F.col(f"hi{k}_b"), F.col(f"lo{k}_b") - F.col(f"hi{k}_a")), 2) for k in range(AXES)), F.lit(0.0))
     near = (F.col("dims_a") == F.col("dims_b")) & (gap <= reach * reach) & (F.col("a") <= F.col("b"))
     top = 0
-    while level(top).select("id").distinct().count() > 1 << FAN_BITS:
+    while (level(top).groupBy("dims").count().agg(F.max("count")).first()[0] or 0) > 1 << FAN_BITS:
         top += 1
     pairs = side(level(top), "a").join(side(level(top), "b"), near).select("a", "b", "dims_a")
     for k in range(top - 1, -1, -1):
@@ -134,12 +170,13 @@ FOUND = "node long, other long, n long"
 
 
 def _compare(axes: np.ndarray, reach: float, cosine: float):
-    """For each block, its own row first and then those it is near to. Rows (node, null, n) count links, (node, other, 0) join."""
+    """Batches of (block, own, ...): for each block its own row first (own is 2, or 1 if it isn't to be compared with itself here), then
+    some of those that it is near to (own is 0). Rows (node, null, n) count links, (node, other, 0) join."""
 
     class Side:
         def __init__(self, node: list, copies: list, vectors: bytes, dims: int) -> None:
             self.node, self.copies = np.array(node), np.array(copies)
-            x = np.frombuffer(vectors, np.float64).reshape(-1, dims)
+            x = _unpacked(vectors, len(node), dims)
             self.unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
             self.at = _project(self.unit, axes)
 
@@ -203,7 +240,8 @@ def _compare(axes: np.ndarray, reach: float, cosine: float):
                 if own:
                     mine, a = of, side
                 assert mine == of
-                yield from out(a, side if not own else a)
+                if own != 1:
+                    yield from out(a, side if not own else a)
 
     return run
 
@@ -230,12 +268,16 @@ def similar_groups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     keyed = nodes.select("node", "vector", "copies").mapInArrow(_cells(axes, reach), "node long, vector binary, copies long, cells binary")
     keyed = cut(keyed)
     placed = keyed.withColumn("dims", F.octet_length("vector")).orderBy("dims", "cells", "node").select("node", "vector", "copies")
-    shape = "block long, dims int, node array<long>, copies array<long>, vectors binary, " + ", ".join(f"{c} double" for c in BOX)
-    blocks = cut(placed.mapInArrow(_cut_blocks(axes), shape))
+    blocks = _blocks(placed, axes, min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS))))
     pairs = cut(_block_pairs(blocks, reach))
+    # A block that is near to many is sent to several tasks, each with a few of them.
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("tasks"))
+    own, task = F.col("a") == F.col("b"), F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")
+    dealt = pairs.join(tasks, "a").withColumn("task", F.explode(F.when(own, F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(task))))
     data = blocks.select(F.col("block").alias("b"), "dims", "node", "copies", "vectors")
-    met = pairs.join(data, "b").select("a", (F.col("a") == F.col("b")).alias("own"), "dims", "node", "copies", "vectors")
-    found = cut(met.repartition("a").sortWithinPartitions("a", F.desc("own")).mapInArrow(tidy(_compare(axes, reach, cosine)), FOUND))
+    met = dealt.join(data, "b").select("a", "task", F.when(own, F.when(F.col("task") == 0, 2).otherwise(1)).otherwise(0).alias("own"), "dims", "node", "copies", "vectors")
+    met = met.repartition("a", "task").sortWithinPartitions("a", "task", F.desc("own")).drop("task")
+    found = cut(met.mapInArrow(tidy(_compare(axes, reach, cosine)), FOUND))
     linked = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     labels = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "node")
     facts = nodes.join(linked, "node", "left").join(labels, "node", "left")

@@ -353,8 +353,10 @@ def test_chat_round_trip(spark):
 # ---------------------------------------------------------------- embeddings
 
 
-def test_embedding_groups(spark, monkeypatch):
-    monkeypatch.setattr(embedding_join, "BLOCK", 32)
+@pytest.mark.parametrize("blocks", [2, 40])
+def test_embedding_groups(spark, monkeypatch, blocks):
+    monkeypatch.setattr(embedding_join, "BLOCKS", blocks)
+    monkeypatch.setattr(embedding_join, "LEAST_BLOCK", 8)
     monkeypatch.setattr(embedding_join, "RUN", 8)
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(30, 16))
@@ -376,6 +378,30 @@ def test_embedding_groups(spark, monkeypatch):
     assert embedding_join.similar_groups(vectors.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1.01e-200]), (3, [5e-324, 5e-324]), (4, [1.7e308, -1.7e308]), (5, [-1e-300, 1e-300]), (6, [3.0, 3.0]), (7, [1e308, -1e308]), (8, [1e308, 1e-308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.similar_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (1, 4), 7: (1, 4), 5: (0, 5), 8: (0, 8)}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_planted_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    x = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    rng = np.random.default_rng(8)
+    for i, v in list(sorted(x.items()))[:60]:
+        for k in (1, 2):  # cosines about the threshold
+            noise = rng.normal(size=len(v))
+            x[10_000 * k + i] = (v + noise * np.linalg.norm(v) / np.linalg.norm(noise) * rng.uniform(0.05, 0.5)) * rng.uniform(0.1, 9)
+    ids = sorted(x)
+    unit = np.stack([x[i] / np.linalg.norm(x[i]) for i in ids])
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    component = roots(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.tril(near)), strict=True)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.similar_groups(spark.createDataFrame([(i, x[i].tolist()) for i in ids], "vec_id long, embedding array<double>")).collect()}
+    assert near.sum() > 100 and got == {i: (int(n), component[i]) for i, n in zip(ids, near.sum(axis=1), strict=True)}
+
+
 # ---------------------------------------------------------------- repeats
 
 
