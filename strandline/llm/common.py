@@ -32,11 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """df, written once as a table in the shared folder and read from there: lost executors cost no earlier step, and the plan
-    starts anew. The folder is scratch space, to be removed with the application."""
+    starts anew. Files are kept apart by the values of a column, its last, if one is named. The folder is scratch space, to be
+    removed with the application."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -56,12 +56,16 @@ def brute_exact(texts):
     return out
 
 
-@pytest.mark.parametrize("bits_per_row", [16, 1])
-def test_exact_groups(spark, bits_per_row):
+@pytest.mark.parametrize(("bits_per_row", "most"), [(16, 27), (1, 27), (512, 15)])
+def test_exact_groups(spark, monkeypatch, bits_per_row, most):
+    monkeypatch.setattr(exact_dedup, "MOST_LOG2", most)  # with the least, in rounds
+    assert most > 15 or exact_dedup._filter_size(412, bits_per_row) == (7, 1 << 15)
     rng = random.Random(2)
     texts = ODD + [f"text {rng.randrange(150)}" + " " * rng.randrange(3) for _ in range(400)]
     found = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs_of(spark, texts), bits_per_row).collect()}
     assert found == brute_exact(texts)
+    kept = exact_dedup.drop_exact_copies(docs_of(spark, texts), bits_per_row)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in found.items() if x[2])
 
 
 def test_exact_false_positives_change_nothing(spark):
