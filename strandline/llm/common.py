@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of this application below ``spark.checkpoint.dir``; a temporary one only where driver and executors are one process."""
     sc = spark.sparkContext
@@ -37,8 +41,14 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     starts anew. Files are kept apart by the values of a column, its last, if one is named. The folder is scratch space, to be
     removed with the application."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for the table is not needed beside it
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:

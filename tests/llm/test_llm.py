@@ -435,6 +435,7 @@ def test_repeated_spans(spark, monkeypatch, small):
     if small:  # texts in many stretches, slices and buckets
         monkeypatch.setattr(repeated_spans, "SLICE", 300)
         monkeypatch.setattr(repeated_spans, "LEAST_BUCKETS", 5)
+        monkeypatch.setattr(repeated_spans, "REMEMBERED", 40)
     texts = repeat_texts()
     expect = brute_removal([(t or "").encode() for t in texts])
     docs = docs_of(spark, texts).withColumn("key", F.lit("clash"))
@@ -446,6 +447,41 @@ def test_repeated_spans(spark, monkeypatch, small):
         assert repeated_spans.removal(docs.limit(0)).count() == 0
 
 
+def test_equal_first_prints_do_not_decide():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 500):
+        h, g = rng.integers(0, 40, n).astype(np.uint64), rng.integers(0, 9, n).astype(np.uint32)
+        order, same = repeated_spans._sorted_equals(h, g)
+        pairs = list(zip(h[order].tolist(), g[order].tolist(), strict=True))
+        assert sorted(pairs) == sorted(zip(h.tolist(), g.tolist(), strict=True))
+        assert same.tolist() == [i > 0 and pairs[i] == pairs[i - 1] for i in range(n)] and same.sum() == n - len(set(pairs))
+
+
+def test_fingerprints_of_equal_strings():
+    prints, rng = repeated_spans.Fingerprints(), np.random.default_rng(5)
+    data = np.concatenate([rng.integers(0, 256, 900, np.uint8)] * 2)
+    for made in (prints.at, prints.second):
+        out = made(data, np.arange(1600), 200)
+        assert (out[:700] == out[900:1600]).all() and len(set(out[:900].tolist())) == 900
+    one = prints.second(data, np.array([37]), 200)[0]
+    assert one == sum((int(b) + 1) * pow(repeated_spans.SECOND_BASE, k, repeated_spans.PRIME) for k, b in enumerate(data[37:237])) % repeated_spans.PRIME
+
+
+def test_positions_by_stretch():
+    rng = random.Random(3)
+    for n in (0, 67, 200, 1700):
+        cover = repeated_spans.cover_positions(n)
+        assert cover.tolist() == [i for i in range(n - 67) if i % 133 in repeated_spans.COVER]
+        numbers = sorted(rng.sample(range(len(cover)), len(cover) // 6))
+        assert repeated_spans.nth_cover_positions(np.array(numbers, np.int64)).tolist() == cover[numbers].tolist()
+        marks = repeated_spans.pack(np.array(numbers, np.int64))
+        wanted = [i for i in range(n - 199) if any(i <= c < i + 133 for c in cover[numbers])]
+        assert repeated_spans.open_positions(n, marks).tolist() == wanted
+        for step in (64, 400):
+            assert [i for a in range(0, n, step) for i in repeated_spans.open_positions(n, marks, a, a + step)] == wanted
+            assert [i for a in range(0, n, step) for i in repeated_spans.cover_positions(n, None, a, a + step)] == cover.tolist()
+
+
 def test_cover_and_numbers():
     p, c = repeated_spans.PERIOD, repeated_spans.COVER
     assert {(a - b) % p for a in c for b in c} == set(range(p))
