@@ -1,20 +1,25 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Strict patterns give the seed entities. The words on the left of seeds are lexical patterns; strings of a looser shape are
-candidates. Patterns and instances (entities and candidates) form a graph that is scored in rounds: a pattern is as good as the
-share of entities among its instances that are judged, an instance as good as its patterns together. Strings of a kind's shape
+Strict shapes give the seed entities. Patterns are the contexts that these stand in: the one, two or three words on the left, the
+word on the right, and the two words around. Any string whose characters fit a kind is a candidate. Patterns and instances
+(entities and candidates) form a graph that is scored in rounds: a pattern is as good as the share of entities among its instances
+that are judged, an instance as good as the best pattern on its left and the best on its right together. Strings of a kind's shape
 that fail its check are judged not to be entities; candidates that no pattern has discovered yet are not judged. Candidates that
 good patterns discover become further entities, until a round finds no more; the seeds always stay.
+
+Beside the four kinds of personal data, secrets (keys and tokens) go through the same rounds; they are reported apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, salted_lookup
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds whose spans are listed together, in the order of the list; and what is reported apart.
+PERSONAL, SECRET = ("email", "ip", "card", "phone"), "secret"
+KINDS = (*PERSONAL, SECRET)
 
 # Leftmost, non-overlapping. A start inside a run whose first character failed must fail too, hence the look-behinds (\G: a run
 # may begin where the last match ended); possessive repeats keep matching linear and the regex engine's stack flat.
@@ -23,30 +28,57 @@ SEEDS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![0-9A-Za-z])",
 }
-#: What must stand in a text for the kind to be looked for.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Looser shapes of the same kinds; candidates only.
+#: What must stand in a text for the kind to be looked for, by seeds and by candidates.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": "[0-9]"}
+NEEDS_LOOSE = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9A-Fa-f](?:[.:]|\[\.\]|\(\.\))", "card": "[0-9]", "phone": "[0-9]", "secret": "[0-9]"}
+#: Strings whose characters fit a kind, written in any other way; candidates only.
 CANDIDATES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}+)++",
-    "ip": r"(?<![0-9])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\))[0-9]{1,3}+){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![+0-9(.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)*+",
+    "ip": r"(?<![0-9A-Za-z.:])[0-9A-Fa-f]++(?:(?:[.:]|::|\[\.\]|\(\.\))[0-9A-Fa-f]++){3,}+(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?=(?:[\x20./_-]?[0-9]){12})[0-9]++(?:[\x20./_-][0-9]++)*+(?![0-9A-Za-z])",
+    "phone": r"(?<![+0-9A-Za-z(.-])(?=\(?[0-9](?:[\x20./()-]{0,2}[0-9]){6})(?:\([0-9]{2,4}\) ?)?+[0-9]++(?:[\x20./-][0-9]++)*+(?![0-9A-Za-z-])",
+    "secret": r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[0-9A-Za-z+/_-]{16,}+(?![0-9A-Za-z])",
 }
 #: A pattern needs so many different entities, and this share of entities among its judged instances; a candidate this score.
 LEAST_SEEDS, LEAST_PATTERN, LEAST_SCORE = 3, 0.8, 0.9
+#: The weight of the word on the right beside that of the words on the left.
+RIGHT_ALONE = 0.5
 SALTS = 64
 
 
+def _contexts(before: Column, after: Column) -> Column:
+    """The patterns of a match by the texts before and after it, in lower case: one to three words on the left, one on the right, one
+    on either side. A string in quotes stands between these, so a quote is a word of its own context too."""
+    last = F.lower(F.substring_index(F.trim(F.regexp_replace(before, r"\s+", " ")), " ", -3))
+    right = F.lower(F.regexp_extract(after, r"^\s*(\S+)", 1))
+
+    def named(x: Column) -> Column:
+        words, right = F.split(x["last"], " "), x["right"]
+        one = F.element_at(words, -1)
+        some = F.array(
+            F.when(one != "", F.concat(F.lit("l1 "), one)),
+            F.when(F.size(words) >= 2, F.concat(F.lit("l2 "), F.substring_index(x["last"], " ", -2))),
+            F.when(F.size(words) >= 3, F.concat(F.lit("l3 "), x["last"])),
+            F.when(right != "", F.concat(F.lit("r1 "), right)),
+            F.when((one != "") & (right != ""), F.concat(F.lit("lr "), one, F.lit(" _ "), right)),
+        )
+        return F.filter(some, lambda c: c.isNotNull())
+
+    return _bound(F.struct(last.alias("last"), right.alias("right")), named)
+
+
 def _matches(text: Column, regex: str) -> Column:
-    """array<struct<start, end, value, left>> of all matches; start and end in code points, left is the word before."""
+    """array<struct<start, end, value, contexts>> of all matches; start and end in code points."""
     hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    gaps = F.split(text, regex, -1)
-    left = lambda gap: F.lower(F.regexp_extract(F.right(gap, F.lit(80)), r"([^\s]+)\s*$", 1))
-    sized = lambda x: F.struct(x["value"].alias("value"), F.char_length(x["value"]).alias("n"), F.char_length(x["gap"]).alias("skip"), left(x["gap"]).alias("left"))
-    # The text after the last match is a gap too; it has no match beside it.
-    pairs = F.filter(F.arrays_zip(hits.alias("value"), gaps.alias("gap")), lambda x: x["value"].isNotNull())
-    return _bound(F.transform(pairs, sized), _placed)
+
+    def sized(gaps: Column) -> Column:
+        # The text after the last match is a gap too; it has no match beside it.
+        each = lambda x, i: F.struct(x.alias("value"), F.char_length(x).alias("n"), F.char_length(F.get(gaps, i)).alias("skip"), _contexts(F.get(gaps, i), F.get(gaps, i + 1)).alias("contexts"))
+        return F.transform(hits, each)
+
+    return _bound(F.when(F.size(hits) > 0, F.split(text, regex, -1)), lambda gaps: _bound(F.when(gaps.isNotNull(), sized(gaps)), _placed))
 
 
 def _bound(value: Column, body) -> Column:
@@ -66,7 +98,7 @@ def _placed(sized: Column) -> Column:
     def at(step: Column, before: Column, x: Column, i: Column) -> Column:
         k = F.floor(i / step).cast("int")
         start = F.element_at(before, k + 1) + length(F.slice(sized, k * step + 1, i % step)) + x["skip"]
-        return _bound(start, lambda at: F.struct(at.alias("start"), (at + x["n"]).alias("end"), x["value"].alias("value"), x["left"].alias("left")))
+        return _bound(start, lambda at: F.struct(at.alias("start"), (at + x["n"]).alias("end"), x["value"].alias("value"), x["contexts"].alias("contexts")))
 
     return F.when(F.size(sized) > 0, _bound(F.ceil(F.sqrt(F.size(sized))).cast("int"), stretched))
 
@@ -85,65 +117,69 @@ def luhn(digits: Column) -> Column:
     return total["sum"] % 10 == 0
 
 
-def _valid(kind: str, value: Column) -> Column:
+def _valid(kind: str, value: Column, loose: bool) -> Column:
     digits = _digits(value)
     n = F.length(digits)
     if kind == "ip":
         part = lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255)
-        return F.forall(F.split(F.regexp_replace(value, r"[\[\]()]", ""), r"\."), part)
+        parts = F.split(F.regexp_replace(value, r"[\[\]()]", ""), r"\.")
+        four = (F.size(parts) == 4) & F.forall(parts, lambda p: p.rlike("^[0-9]+$") & F.coalesce(part(p), F.lit(False)))
+        return four | value.rlike("^[0-9A-Fa-f]{1,4}(:{1,2}[0-9A-Fa-f]{1,4}){3,7}$") if loose else F.forall(parts, part)
     if kind == "card":
         return F.when(n.between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
-        return n.between(9, 15)
+        return n.between(7 if loose else 9, 15)
     return F.lit(True)
 
 
-def _of_kind(k: int, matches: Column) -> Column:
-    return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), F.coalesce(_valid(KINDS[k], x["value"]), F.lit(False)).alias("good")))
+def _of_kind(k: int, matches: Column, loose: bool) -> Column:
+    """The matches with ``good``: true for what passes the kind's check, false for what has its shape and fails, null for neither."""
+    n = lambda x: F.length(_digits(x["value"]))
+    shaped = (lambda x: n(x).between(12, 19)) if KINDS[k] == "card" else (lambda x: F.lit(not loose))
+    good = lambda x: F.when(F.coalesce(_valid(KINDS[k], x["value"], loose), F.lit(False)), True).when(shaped(x), False)
+    return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["contexts"].alias("contexts"), good(x).alias("good")))
 
 
-def _found(text: Column, kinds: dict[str, str], seeds: bool) -> Column:
-    """All matches of the kinds in one array, with the kind's place in KINDS and whether they are valid."""
-    arrays = []
-    for k, (kind, regex) in enumerate(kinds.items()):
-        there = F.contains(text, F.lit(NEEDS[kind])) if seeds and NEEDS[kind] else F.contains(text, F.lit("at")) if kind == "email" else text.rlike("[0-9]")
-        if seeds and kind != "email":
-            there = there & text.rlike("[0-9]")
-        arrays.append(_of_kind(k, F.coalesce(F.when(there, _matches(text, regex)), F.array())))
-    return F.array_sort(F.concat(*arrays))
+def _found(text: Column, kinds: dict[str, str], needs: dict[str, str], loose: bool) -> Column:
+    """All matches of the kinds in one array, with the kind's place in KINDS and whether they are good."""
+    return F.array_sort(F.concat(*(_of_kind(k, F.coalesce(F.when(text.rlike(needs[kind]), _matches(text, kinds[kind])), F.array()), loose) for k, kind in enumerate(KINDS))))
 
 
 def _entities(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, seeds, loose, wrong: the entities and the candidates of each row, and what has their shape only."""
+    """row_key, doc_id, seeds, loose, wrong: the entities and the candidates of each row, and what has their shape only.
+
+    row_key is a digest of the id and the text: equal rows share it, and what is found in them.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), text.alias("text"))
-    rows = rows.select("doc_id", "row_key", _found(F.col("text"), SEEDS, True).alias("strict"), _found(F.col("text"), CANDIDATES, False).alias("loose"))
-    rows = rows.select("doc_id", "row_key", F.filter("strict", lambda x: x["good"]).alias("seeds"), "loose", F.filter("strict", lambda x: ~x["good"]).alias("wrong"))
-    apart = lambda x: ~F.exists("seeds", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    rows = rows.withColumn("wrong", F.concat("wrong", F.filter("loose", lambda x: ~x["good"])))
-    rows = rows.withColumn("loose", F.filter("loose", lambda x: x["good"] & apart(x)))
-    return rows.withColumn("wrong", F.transform("wrong", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["left"].alias("left"))))
+    key = F.md5(F.concat(F.md5(text.cast("binary")), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.lit(""))).cast("binary"))
+    rows = docs.select("doc_id", key.alias("row_key"), text.alias("text"))
+    rows = rows.select("doc_id", "row_key", _found(F.col("text"), SEEDS, NEEDS, False).alias("strict"), _found(F.col("text"), CANDIDATES, NEEDS_LOOSE, True).alias("loose"))
+    good, bad = (lambda x: F.coalesce(x["good"], F.lit(False))), (lambda x: ~F.coalesce(x["good"], F.lit(True)))
+    wrong = F.concat(F.filter("strict", bad), F.filter("loose", bad))
+    return rows.select("doc_id", "row_key", F.filter("strict", good).alias("seeds"), F.filter("loose", good).alias("loose"), F.transform(wrong, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["contexts"].alias("contexts"))).alias("wrong"))
+
+
+def _instance(e: Column) -> Column:
+    return F.xxhash64(e["kind"], e["value"])
 
 
 def _instances(found: DataFrame) -> DataFrame:
-    """The graph: distinct (kind, value, pattern), with whether the instance is a seed, and whether it is no entity."""
-    named = lambda array, seed, wrong: F.transform(array, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["left"].alias("left"), F.lit(seed).alias("seed"), F.lit(wrong).alias("wrong")))
+    """The graph: distinct (pattern, side, instance), with whether the instance is a seed, and whether it is no entity."""
+    named = lambda array, seed, wrong: F.transform(array, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["contexts"].alias("contexts"), F.lit(seed).alias("seed"), F.lit(wrong).alias("wrong")))
     rows = found.select(F.explode(F.concat(named("seeds", True, False), named("loose", False, False), named("wrong", False, True))).alias("e"))
-    pattern = F.xxhash64(F.col("e.kind"), F.col("e.left"))
-    instance = F.xxhash64(F.col("e.kind"), F.col("e.value"))
-    rows = rows.where(F.col("e.left") != "").select(pattern.alias("pattern"), instance.alias("instance"), F.col("e.seed").alias("seed"), F.col("e.wrong").alias("wrong"))
-    return rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("wrong").alias("wrong"))
+    rows = rows.select(_instance(F.col("e")).alias("instance"), "e.kind", "e.seed", "e.wrong", F.explode("e.contexts").alias("context"))
+    rows = rows.select(F.xxhash64("kind", "context").alias("pattern"), F.startswith("context", F.lit("r1 ")).alias("right"), "instance", "seed", "wrong")
+    return rows.groupBy("pattern", "right", "instance").agg(F.max("seed").alias("seed"), F.min("wrong").alias("wrong"))
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """(pattern): the patterns that hold after the rounds; (pattern, instance) pairs score by all patterns of the instance.
+    """(instance, score) of the candidates that patterns discover, by rounds over the graph of patterns and instances.
 
-    Returns (instance, score) of the candidates with at least one pattern that holds. The tables are keyed by hash of a pattern
-    or of an instance, either of which may be in any part of the rows: lookups are salted. Entities only become more, so the
-    rounds end: at the first that discovers none.
+    The tables are keyed by hash of a pattern or of an instance, either of which may be in any part of the rows: lookups are salted.
+    Entities only become more, so the rounds end: at the first that discovers none.
     """
     graph = cut(_instances(found))
-    loose = cut(graph.where(~F.col("seed") & ~F.col("wrong")).select("pattern", "instance"))
+    loose = cut(graph.where(~F.col("seed") & ~F.col("wrong")).select("pattern", "right", "instance"))
     judged = graph.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count(F.when(F.col("wrong"), 1)).alias("wrong"))
     judged = cut(judged.where("seeds > 0 or wrong > 0"))
     accepted = loose.select("instance", F.lit(0.0).alias("score")).limit(0)
@@ -153,39 +189,58 @@ def discovered(found: DataFrame) -> DataFrame:
         known = judged.join(more, "pattern", "full").select("pattern", (F.coalesce("seeds", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("entities"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
         patterns = known.where("entities > 0").withColumn("share", F.col("entities") / (F.col("entities") + F.col("wrong")))
         good = patterns.where((F.col("entities") >= LEAST_SEEDS) & (F.col("share") >= LEAST_PATTERN)).select("pattern", (F.col("share") * (1 - 1 / (1.0 + F.col("entities")))).alias("worth"))
-        # An instance is missed only by all its good patterns together.
+        # Patterns of one side are much alike, so the best of each side counts; what follows supports, but does not discover alone.
         told = salted_lookup(loose, good, "pattern", F.col("instance"), SALTS)
-        scores = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999)))))).alias("score"))
+        side = lambda right: F.coalesce(F.max(F.when(F.col("right") == right, F.col("worth"))), F.lit(0.0))
+        scores = told.groupBy("instance").agg((1 - (1 - side(False)) * (1 - RIGHT_ALONE * side(True))).alias("score"))
         accepted = cut(scores.where(F.col("score") >= LEAST_SCORE))
         before, n = n, accepted.count()
         if n == before:
             return accepted
 
 
+def _clear(spans: DataFrame) -> DataFrame:
+    """Of the rows' spans (row_key, seed, x), those that are no seed and overlap none."""
+    in_row = Window.partitionBy("row_key").orderBy("x.start", "x.end", "x.kind")
+    ends = F.max(F.when(F.col("seed"), F.col("x.end"))).over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.min(F.when(F.col("seed"), F.col("x.start"))).over(in_row.rowsBetween(1, Window.unboundedFollowing))
+    rows = spans.withColumn("ends", ends).withColumn("starts", starts).where(~F.col("seed"))
+    return rows.where((F.coalesce("ends", F.lit(0)) <= F.col("x.start")) & (F.coalesce("starts", F.col("x.end")) >= F.col("x.end"))).select("row_key", "x")
+
+
 def _listed(spans: Column) -> Column:
     named = F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"]))
     return F.array_join(named, ",")
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered: one row for each row of docs (doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered, n_secret, secrets, n_spans: a row for each of docs.
 
-    The counts and the digest are those of the seeds; spans lists all entities as kind:start:end by start, then by kind in the
-    order of KINDS, in code points, end exclusive. Null text is empty, and has none. Rows that repeat a doc_id are rows of their
-    own. An empty table gives an empty one. Other columns are not read.
+    The counts of the four kinds and the digest are those of the seeds; spans lists all their entities as kind:start:end by start, then
+    by kind in the order of PERSONAL, in code points, end exclusive; secrets lists the keys and tokens likewise. n_discovered counts
+    what is no seed, n_spans all. Null text is empty, and has none. Rows that repeat a doc_id are rows of their own. An empty table
+    gives an empty one. Other columns than doc_id and text are not read.
     """
     found = cut(_entities(docs))
-    loose = found.where(F.size("loose") > 0).select("row_key", F.explode("loose").alias("x"))
-    loose = loose.withColumn("instance", F.xxhash64(F.col("x.kind"), F.col("x.value")))
-    more = salted_lookup(loose, discovered(found), "instance", F.col("row_key"), SALTS)
-    # Equal rows have equal spans; a row's own candidates are few.
-    more = more.select("row_key", "x").distinct().groupBy("row_key").agg(F.collect_list("x").alias("more"))
-    rows = found.select("doc_id", "row_key", "seeds").join(more, "row_key", "left")
+    loose = found.where(F.size("loose") > 0).select("row_key", F.explode("loose").alias("x")).distinct()
+    told = salted_lookup(loose.withColumn("instance", _instance(F.col("x"))), discovered(found), "instance", F.col("row_key"), SALTS).select("row_key", "x")
+    told = cut(told)
+    seeds = found.join(told.select("row_key").distinct(), "row_key", "left_semi").select("row_key", F.explode("seeds").alias("x")).distinct()
+    # A row's own spans are as many as its text allows; equal rows have equal ones.
+    both = told.select("row_key", F.lit(False).alias("seed"), "x").unionByName(seeds.select("row_key", F.lit(True).alias("seed"), "x"))
+    more = _clear(both).groupBy("row_key").agg(F.collect_list("x").alias("more"))
+    rows = found.select("doc_id", "row_key", "seeds").join(more, "row_key", "left").withColumn("more", F.coalesce("more", F.array()))
+    rows = rows.withColumn("every", F.array_sort(F.concat("seeds", "more")))
     count = lambda k: F.size(F.filter("seeds", lambda x: x["kind"] == k)).cast("long")
+    own = lambda c: F.filter(c, lambda x: x["kind"] < len(PERSONAL))
+    secrets = F.filter("every", lambda x: x["kind"] == len(PERSONAL))
     return rows.select(
         "doc_id",
-        *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
-        F.sha2(_listed(F.col("seeds")).cast("binary"), 256).alias("base_sha256"),
-        _listed(F.array_sort(F.concat("seeds", F.coalesce("more", F.array())))).alias("spans"),
-        F.size(F.coalesce("more", F.array())).cast("long").alias("n_discovered"),
+        *(count(k).alias(f"n_{kind}") for k, kind in enumerate(PERSONAL)),
+        F.sha2(_listed(own("seeds")).cast("binary"), 256).alias("base_sha256"),
+        _listed(own("every")).alias("spans"),
+        F.size("more").cast("long").alias("n_discovered"),
+        F.size(secrets).cast("long").alias("n_secret"),
+        _listed(secrets).alias("secrets"),
+        F.size("every").cast("long").alias("n_spans"),
     )
