@@ -1,8 +1,11 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose pairs, the whole shingle sets decide.
-
-A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS, 5e-8 at 0.8. Every pair that shares a band is
-decided or is inside one component already: first each text is compared with one text of each of its bands, then what is still
-in different components of a band. So a large group of copies costs pairs in proportion to its size.
+"""The near-duplicate stage: texts of Jaccard similarity 0.8 or more on five-word shingles, by SimHash first, then what it leaves.
+
+SimHash (the operator's generalised pigeonhole search, on fingerprints of these shingles) finds groups of nearly equal texts; each is
+compared with one of its group, on the whole shingle sets. But a pair of similarity 0.8 differs in ten bits of 64 on average, and a
+search within as many would compare a large share of all pairs. So MinHash bands propose the rest: a pair of similarity s shares
+no band with probability (1 - s ** ROWS) ** BANDS, 5e-8 at 0.8. Every pair that shares a band is decided on its whole sets or is
+inside one component already: first each text is compared with one text of each of its bands, then what is still in different
+components of a band. So a large group of copies costs pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, salted_lookup, slices, tidy, utf8
 from .components import components
 
@@ -59,7 +63,8 @@ def _sketches(words: int):
             for part in slices(batch, "text"):
                 sets = [shingles(x, words) for x in utf8(part.column(1))]
                 keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([part.column(0), pa.array([len(x) for x in sets], pa.int64()), keys], names=["sha", "n", "bands"])
+                prints = np.array([simhash.majority(simhash.bit_counts(x), len(x)) for x in sets], np.uint64)
+                yield pa.record_batch([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints.view(np.int64)), keys], names=["sha", "n", "fp", "bands"])
 
     return run
 
@@ -97,6 +102,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.select("a", "b", "x", "y").mapInArrow(tidy(_alike(similarity)), "a long, b long")
 
 
+def _group_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, fp): each text of a SimHash group with one of them."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("id"), F.count("*").alias("texts")))
+    count = prints.count()
+    found = components(simhash.links(prints.select(F.col("id").alias("node"), "fp"), count)) if count > 1 else None
+    if found is not None:
+        prints = prints.join(found, "id", "left").withColumn("of", F.coalesce("component_id", "id"))
+        prints = prints.where((F.col("texts") > 1) | F.col("component_id").isNotNull())
+    else:
+        prints = prints.where("texts > 1").withColumn("of", F.col("id"))
+    members = salted_lookup(nodes.select("node", "n", "fp"), prints.select("fp", "of"), "fp", F.col("node"), SALTS)
+    first = nodes.select(F.col("node").alias("of"), F.col("n").alias("m"))
+    pairs = salted_lookup(members, first, "of", F.col("node"), SALTS).where((F.col("node") != F.col("of")) & _sizes_fit(F.col("n"), F.col("m"), similarity))
+    return pairs.select(F.least("node", "of").alias("a"), F.greatest("node", "of").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component_id").alias(f"of_{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _open_pairs(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """Pairs of a band whose components differ. Of two components one at least is not the band's largest."""
     rows = cut(shared.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("component_id", "node").alias("of")))
@@ -118,12 +146,16 @@ def drop_similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMI
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("__row"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    sketches = docs.select(F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")).mapInArrow(tidy(_sketches(words)), "sha string, n long, bands array<long>")
-    nodes = sketches.groupBy("sha").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
+    sketches = docs.select(F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")).mapInArrow(tidy(_sketches(words)), "sha string, n long, fp long, bands array<long>")
+    nodes = sketches.groupBy("sha").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("order"), "node", "n")).alias("first"), F.count("*").alias("together")).where("together > 1")
-    shared = cut(salted_lookup(keys, leaders.select("key", "first"), "key", F.col("node"), SALTS))
+    # Most bands are one text's alone: what is shared is found by the keys only, then the rows of those keys.
+    twice = cut(keys.groupBy("key").agg(F.count("*").alias("together")).where("together > 1").select("key"))
+    mine = cut(salted_lookup(keys, twice, "key", F.col("node"), SALTS))
+    leaders = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node", "n")).alias("first"))
+    shared = cut(salted_lookup(mine, leaders.select("key", "first.node", "first.n").toDF("key", "first", "m"), "key", F.col("node"), SALTS))
+    # Texts of one SimHash group that share no band are less alike than 0.8 but for that probability; those that do are suspects.
     suspects = shared.select("node").distinct().join(nodes.select("node", "sha"), "node").unionByName(nodes.where("rows > 1").select("node", "sha")).distinct()
 
     salt = F.pmod(F.xxhash64("__row.doc_id"), F.lit(16)).cast("int")
@@ -133,10 +165,16 @@ def drop_similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMI
     texts = some.groupBy("node").agg(F.first(F.coalesce(F.col("__row.text").cast("string"), F.lit(""))).alias("text"))
     sets = cut(texts.select("node", "text").mapInArrow(tidy(_sets(words)), "node long, hashes binary"))
 
-    fit = _sizes_fit(F.col("n"), F.col("first.n"), similarity) & (F.col("node") != F.col("first.node"))
-    tried = cut(shared.where(fit).select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct())
-    links = cut(_verified(tried, sets, similarity))
+    groups = cut(_group_pairs(nodes, similarity))
+    links = cut(_verified(groups, sets, similarity))
+    labels = components(links)
+    # The same texts lead most bands of a group of copies, so that there are few different pairs.
+    fit = _sizes_fit(F.col("n"), F.col("m"), similarity) & (F.col("node") != F.col("first"))
+    led = shared.where(fit).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+    led = cut(_apart(led.join(groups, ["a", "b"], "left_anti"), labels))
+    links = cut(links.unionByName(_verified(led, sets, similarity)))
     labels = components(links)
+    tried = groups.unionByName(led)
     more = cut(_open_pairs(shared.select("key", "node", "n"), labels, similarity).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         labels = components(links.unionByName(_verified(more, sets, similarity)))

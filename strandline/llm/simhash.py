@@ -14,7 +14,6 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +44,30 @@ def _word_stretches(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    rows = np.zeros((-(-len(hashes) // 255) * 255, 8), np.uint8)
+    rows[: len(hashes)] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    # Sums of 255 bits fit a byte.
+    return np.unpackbits(rows, axis=1).reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have."""
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
 def fingerprint(text: bytes) -> int:
     """The fingerprint of a lower-cased text."""
-    set_bits, n, tail = np.zeros(64, np.int64), 0, []
+    counts, n, tail = np.zeros(64, np.int64), 0, []
     for words in _word_stretches(text):
         words = tail + words
-        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(SHINGLE)), strict=False)), ">u8")
+        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(SHINGLE)), strict=False)), np.uint64)
         tail, n = words[-(SHINGLE - 1) :], n + len(hashes)
-        rows = np.zeros((-(-len(hashes) // 255) * 255, 8), np.uint8)
-        rows[: len(hashes)] = hashes.view(np.uint8).reshape(-1, 8)
-        # Sums of 255 bits fit a byte.
-        set_bits += np.unpackbits(rows, axis=1).reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bit_counts(hashes)
     if not n:
         return xxhash.xxh64_intdigest(b" ".join(tail), SEED) if tail else 0
-    return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
+    return majority(counts, n)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,13 +270,3 @@ def near_groups(docs: DataFrame) -> DataFrame:
     unknown = prints.where("doc_id is null").join(labelled, "fp", "left")
     both = known.select("doc_id", "fp", "component_id").unionByName(unknown.select("doc_id", "fp", "component_id"))
     return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id; all columns stay.
-
-    Rows without a doc_id stay. Rows that go are matched by doc_id.
-    """
-    gone = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"))
-    return rows.join(gone, F.col("__row.doc_id") == F.col("__gone"), "left_anti").select("__row.*")
