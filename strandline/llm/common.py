@@ -21,6 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that a task gathers before it writes them to a table in the shared folder.
+BLOCK_BYTES = 16 << 20
 #: Whether a query's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -45,7 +47,8 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # what was shuffled for the table is not needed beside it
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        written = df.write.option("parquet.block.size", BLOCK_BYTES)
+        (written.partitionBy(by) if by else written).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,8 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Shingles are hashed for all bands in stretches of this many.
 STRETCH = 1 << 12
-#: Rows of a band that one text of it is compared with in one task.
-BLOCK = 512
+#: Texts of a group in one block; a task compares two blocks.
+BLOCK = 1024
 SALTS = 64
 
 _rng = np.random.default_rng(7)
@@ -118,23 +118,54 @@ def _group_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.least("node", "of").alias("a"), F.greatest("node", "of").alias("b")).distinct()
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose components differ."""
-    of = lambda c: labels.select(F.col("id").alias(c), F.col("component_id").alias(f"of_{c}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+def _block_links(similarity: float):
+    """Links between the texts of two blocks of a group (or of one): of pairs that share a band, whose components differ and whose
+    sets are similar, one for each text and component."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        group = group.sort_by("node")
+        node, of, n, mine = (group.column(c).to_numpy() for c in ("node", "of", "n", "mine"))
+        keys = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(group), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+        left, out = np.flatnonzero(mine == lo), []
+        for j in np.flatnonzero(mine == hi).tolist():
+            fit = (of[left] != of[j]) & (np.minimum(n[left], n[j]) + 1e-9 >= np.maximum(n[left], n[j]) * similarity)
+            near = left[fit & (left < j if lo == hi else True)]
+            near = near[(keys[near] == keys[j]).any(axis=1)]
+            if not len(near):
+                continue
+            both = np.zeros(len(near), np.int64)
+            if n[j]:
+                flat = np.concatenate([sets[i] for i in near.tolist()])
+                at = np.minimum(np.searchsorted(sets[j], flat), len(sets[j]) - 1)
+                both = np.add.reduceat(sets[j][at] == flat, np.cumsum(n[near]) - n[near], dtype=np.int64)
+            good = near[both + 1e-9 >= similarity * (n[near] + n[j] - both)]
+            out += [(int(node[i]), int(node[j])) for i in good[np.unique(of[good], return_index=True)[1]].tolist()]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return run
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a band whose components differ. Of two components one at least is not the band's largest."""
-    rows = cut(shared.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("component_id", "node").alias("of")))
-    sizes = rows.groupBy("key", "of").agg(F.count("*").alias("k"))
-    facts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("of", F.struct("k", "of")).alias("largest"), F.sum("k").alias("together")).where("parts > 1").drop("parts")
-    rows = cut(salted_lookup(rows, facts, "key", F.col("node"), SALTS).withColumn("blocks", F.ceil(F.col("together") / BLOCK).cast("int")))
-    every = rows.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("of").alias("oa"), (F.col("of") == F.col("largest")).alias("large"))
-    small = rows.where("of <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of").alias("ob"))
-    pairs = every.join(small, ["key", "block"]).where((F.col("oa") != F.col("ob")) & (F.col("large") | (F.col("a") < F.col("b"))) & _sizes_fit(F.col("na"), F.col("nb"), similarity))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _open_links(shared: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts that share a band (shared: key, node) and are in different components, all pairs of them.
+
+    Bands with texts of several components tie texts to groups. A group's texts go out in blocks, each pair of blocks to one task,
+    with their sets: a set is sent once for each block that its text meets, not for each pair or band.
+    """
+    of = labels.withColumnRenamed("id", "node")
+    rows = cut(shared.select("key", "node").join(of, "node", "left").select("key", "node", F.coalesce("component_id", "node").alias("of")))
+    several = rows.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("key", "first")
+    rows = cut(salted_lookup(rows, several, "key", F.col("node"), SALTS).select("node", "of", "first"))
+    groups = components(rows.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    groups = groups.select(F.col("id").alias("node"), F.col("component_id").alias("of_all"))
+    members = groups.join(rows.select("node", "of").distinct(), "node")
+    sizes = members.groupBy("of_all").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = salted_lookup(members, sizes, "of_all", F.col("node"), SALTS).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(nodes.select("node", "n", "bands"), "node").join(sets, "node")
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("of_all", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "of", "n", "bands", "hashes")
+    return members.groupBy("of_all", "lo", "hi").applyInArrow(_block_links(similarity), "a long, b long")
 
 
 def drop_similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -165,19 +196,14 @@ def drop_similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMI
     texts = some.groupBy("node").agg(F.first(F.coalesce(F.col("__row.text").cast("string"), F.lit(""))).alias("text"))
     sets = cut(texts.select("node", "text").mapInArrow(tidy(_sets(words)), "node long, hashes binary"))
 
-    groups = cut(_group_pairs(nodes, similarity))
-    links = cut(_verified(groups, sets, similarity))
-    labels = components(links)
     # The same texts lead most bands of a group of copies, so that there are few different pairs.
     fit = _sizes_fit(F.col("n"), F.col("m"), similarity) & (F.col("node") != F.col("first"))
-    led = shared.where(fit).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    led = cut(_apart(led.join(groups, ["a", "b"], "left_anti"), labels))
-    links = cut(links.unionByName(_verified(led, sets, similarity)))
+    led = shared.where(fit).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    links = cut(_verified(cut(_group_pairs(nodes, similarity).unionByName(led).distinct()), sets, similarity))
     labels = components(links)
-    tried = groups.unionByName(led)
-    more = cut(_open_pairs(shared.select("key", "node", "n"), labels, similarity).join(tried, ["a", "b"], "left_anti"))
+    more = cut(_open_links(shared, nodes, sets, labels, similarity))
     if not more.isEmpty():
-        labels = components(links.unionByName(_verified(more, sets, similarity)))
+        labels = components(links.unionByName(more))
 
     some = salted_lookup(some, suspects.select("node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component_id", "node").alias("of")), "node", F.col("__row.doc_id"), SALTS)
     order = F.struct(F.col("__row.doc_id").isNull(), F.col("__row.doc_id"), F.col("sha"), F.xxhash64(F.to_json("__row")))

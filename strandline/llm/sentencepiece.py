@@ -201,7 +201,9 @@ class Merger:
         """One word of any length, with a heap of merges: time in proportion to n log n."""
         s = [self.symbol.get(c, -1) for c in word]
         nxt, prv = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
-        table = self.__dict__.setdefault("_merges", dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True)))
+        if not hasattr(self, "_merges"):
+            self._merges = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        table = self._merges
         heap: list = []
 
         def push(i: int) -> None:
@@ -230,7 +232,7 @@ def _encode(table: Pieces):
         index: dict[str, int] = {}
         ids = starts = lengths = np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", most_bytes=1 << 20):
+            for part in slices(batch, "text", most_bytes=1 << 19):
                 texts = [words_of(x or "", table.dummy_prefix) for x in part.column(1).to_pylist()]
                 coded = pa.array([w for t in texts for w in t], pa.string()).dictionary_encode()
                 distinct = coded.dictionary.to_pylist()
