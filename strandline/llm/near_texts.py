@@ -1,7 +1,7 @@
 """The near-duplicate stage: texts of Jaccard similarity 0.8 or more on five-word shingles, by SimHash first, then what it leaves.
 
 SimHash (the operator's generalised pigeonhole search, on fingerprints of these shingles) finds groups of nearly equal texts; each is
-compared with one of its group, on the whole shingle sets. But a pair of similarity 0.8 differs in ten bits of 64 on average, and a
+compared with another of its group, on the whole shingle sets. But a pair of similarity 0.8 differs in ten bits of 64 on average, and a
 search within as many would compare a large share of all pairs. So MinHash bands propose the rest: a pair of similarity s shares
 no band with probability (1 - s ** ROWS) ** BANDS, 5e-8 at 0.8. Every pair that shares a band is decided on its whole sets or is
 inside one component already: first each text is compared with one text of each of its bands, then what is still in different
@@ -102,20 +102,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.select("a", "b", "x", "y").mapInArrow(tidy(_alike(similarity)), "a long, b long")
 
 
-def _group_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, n, fp): each text of a SimHash group with one of them."""
-    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("id"), F.count("*").alias("texts")))
+def _group_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp): the links of SimHash, and each text with the first one of its fingerprint."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("texts")))
     count = prints.count()
-    found = components(simhash.links(prints.select(F.col("id").alias("node"), "fp"), count)) if count > 1 else None
-    if found is not None:
-        prints = prints.join(found, "id", "left").withColumn("of", F.coalesce("component_id", "id"))
-        prints = prints.where((F.col("texts") > 1) | F.col("component_id").isNotNull())
-    else:
-        prints = prints.where("texts > 1").withColumn("of", F.col("id"))
-    members = salted_lookup(nodes.select("node", "n", "fp"), prints.select("fp", "of"), "fp", F.col("node"), SALTS)
-    first = nodes.select(F.col("node").alias("of"), F.col("n").alias("m"))
-    pairs = salted_lookup(members, first, "of", F.col("node"), SALTS).where((F.col("node") != F.col("of")) & _sizes_fit(F.col("n"), F.col("m"), similarity))
-    return pairs.select(F.least("node", "of").alias("a"), F.greatest("node", "of").alias("b")).distinct()
+    equal = salted_lookup(nodes.select("node", "fp"), prints.where("texts > 1").select("fp", "first"), "fp", F.col("node"), SALTS)
+    pairs = equal.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return pairs.unionByName(simhash.links(prints.select(F.col("first").alias("node"), "fp"), count)) if count > 1 else pairs
 
 
 def _block_links(similarity: float):
@@ -199,7 +192,8 @@ def drop_similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMI
     # The same texts lead most bands of a group of copies, so that there are few different pairs.
     fit = _sizes_fit(F.col("n"), F.col("m"), similarity) & (F.col("node") != F.col("first"))
     led = shared.where(fit).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
-    links = cut(_verified(cut(_group_pairs(nodes, similarity).unionByName(led).distinct()), sets, similarity))
+    proposed = _group_pairs(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(led).distinct()
+    links = cut(_verified(cut(proposed), sets, similarity))
     labels = components(links)
     more = cut(_open_links(shared, nodes, sets, labels, similarity))
     if not more.isEmpty():
