@@ -567,3 +567,7 @@ def result_totals(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "ev")
     none = linear.linear_counts(rows.select("read_id", *SITE).limit(0), candidates_of(rows))
     return summary.totals(summary.summarize(rows, none, 0))
+
+
+# More queries, each module adding its own to QUERIES and ORACLE_SQL.
+from . import planted  # noqa: E402, F401
