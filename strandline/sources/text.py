@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +33,14 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """chrom, length, seq: names up to the first blank, bases in upper case.
 
-    Each file is read as one row by a task of its own; a genome is best kept as one file for each chromosome.
+    A file is split at its records, not at lines, so that each record is a row of its own and files may be of any size; a record
+    must fit a row (2 GB).
     """
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                for record in content.as_py().decode("ascii", "replace").split(">")[1:]:
-                    head, _, body = record.partition("\n")
-                    seq = "".join(body.split()).upper()
-                    yield pa.record_batch([pa.array([(head.split() or [""])[0]]), pa.array([len(seq)], pa.int32()), pa.array([seq])], names=["chrom", "length", "seq"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "chrom string, length int, seq string")
+    rows = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("record"))
+    head = F.substring_index(F.substring_index("record", "\n", 1), "\r", 1)
+    seq = F.upper(F.translate(F.expr("substring(record, length(substring_index(record, '\\n', 1)) + 1)"), "\n\r\t >", ""))
+    rows = rows.where(F.trim(F.translate("record", "\n\r", "")) != "").select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("chrom"), seq.alias("seq"))
+    return rows.select("chrom", F.length("seq").alias("length"), "seq")
 
 
 def reference_chunks(reference: DataFrame, chunk: int = CHUNK) -> DataFrame:
