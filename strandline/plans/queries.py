@@ -570,4 +570,4 @@ def result_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 # More queries, each module adding its own to QUERIES and ORACLE_SQL.
-from . import files, planted  # noqa: E402, F401
+from . import files, planted, simulated, strings  # noqa: E402, F401
