@@ -58,33 +58,37 @@ def classify(cigar: Column, read_length: Column, relaxed: bool = False) -> Colum
     ref is the reference length; -1 and -2 mark strings that say nothing. relaxed is the form of the segment filter: a lone match
     must be of the read's length, any one operation may stand between two clips, and = and X count as matches.
     """
-    matched = "M=X" if relaxed else "M"
-
-    def whole(o: Column) -> Column:
-        n = F.size(o)
-        first, last = F.element_at(o, 1), F.element_at(o, -1)
-        ends = F.concat(first["op"], last["op"])
-        word = F.array_join(F.transform(o, lambda x: x["op"]), "")
-        mid = F.element_at(o, F.when(n >= 2, 2).otherwise(1))
-        inner = bind(total(o, matched + "D"), lambda s: s)
-        lone = (word == "M") & (first["n"] == read_length) if relaxed else word == "M"
-        both = (n == 3) & (ends == "SS") & (F.lit(True) if relaxed else mid["op"] == "M")
+    # Letters and the outer numbers tell nearly all kinds; only strings of four operations or more are taken apart.
+    number = lambda pattern: F.coalesce(F.regexp_extract(cigar, pattern, 1).try_cast("int"), F.lit(0))
+    word = F.translate(cigar, "H0123456789", "S")
+    n = F.length(word)
+    first, last, mid = number("^([0-9]+)"), number("([0-9]+)[A-Z=]$"), number("^[0-9]+.([0-9]+)")
+    lone = (word == "M") & (first == read_length) if relaxed else word == "M"
+    both = (n == 3) & word.startswith("S") & word.endswith("S") if relaxed else word == "SMS"
+    inner = total(ops(cigar), ("M=X" if relaxed else "M") + "D")
+
+    def long(o: Column) -> Column:
+        ends = F.concat(F.left(word, F.lit(1)), F.right(word, F.lit(1)))
         return (
-            F.when(n == 1, F.when(lone, _shape(0, 0, 0, read_length)).otherwise(_shape(0, 0, 0, -1)))
-            .when(word == "MS", _shape(1, first["n"], first["n"] - 1, first["n"]))
-            .when(word == "SM", _shape(-1, first["n"], 0, last["n"]))
-            .when(both, _shape(10, first["n"], last["n"], mid["n"]))
-            .when(word == "MDM", _shape(0, 0, 0, read_length + mid["n"]))
-            .when(word == "MIM", _shape(0, 0, 0, read_length - mid["n"]))
-            .when((n >= 4) & (ends == "MS"), _shape(1, read_length - last["n"], inner - 1, inner))
-            .when((n >= 4) & (ends == "SM"), _shape(-1, first["n"], 0, inner))
-            .when((n >= 4) & (ends == "MM"), _shape(0, 0, 0, inner))
-            .when((n >= 4) & (ends == "SS"), _shape(10, first["n"], last["n"], inner))
+            F.when(ends == "MS", _shape(1, read_length - last, o - 1, o))
+            .when(ends == "SM", _shape(-1, first, 0, o))
+            .when(ends == "MM", _shape(0, 0, 0, o))
+            .when(ends == "SS", _shape(10, first, last, o))
             .otherwise(_shape(0, 0, 0, -2))
         )
 
-    known = bind(ops(soft(cigar)), lambda o: F.when(F.size(o) > 0, whole(o)).otherwise(_shape(0, 0, 0, -2)))
-    return F.when(cigar.isNull() | (cigar == "*"), _shape(0, 0, 0, -1)).otherwise(known)
+    return (
+        F.when(cigar.isNull() | (cigar == "*"), _shape(0, 0, 0, -1))
+        .when(~cigar.rlike(VALID), _shape(0, 0, 0, -2))
+        .when(n == 1, F.when(lone, _shape(0, 0, 0, read_length)).otherwise(_shape(0, 0, 0, -1)))
+        .when(word == "MS", _shape(1, first, first - 1, first))
+        .when(word == "SM", _shape(-1, first, 0, last))
+        .when(both, _shape(10, first, last, mid))
+        .when(word == "MDM", _shape(0, 0, 0, read_length + mid))
+        .when(word == "MIM", _shape(0, 0, 0, read_length - mid))
+        .when(n < 4, _shape(0, 0, 0, -2))
+        .otherwise(bind(inner, long))
+    )
 
 
 def shape_class(cigar: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Splice signals (left of the first site, right of the second) and their strands.
@@ -41,23 +41,19 @@ def oriented(seq: Column, same_strand: Column) -> Column:
     return F.when(same_strand, seq).otherwise(reverse_complement(seq))
 
 
-def signal_offsets(left: Column, right: Column, relaxed: bool = False) -> Column:
-    """array<struct<offset, strand, left, right>>: where both windows have a splice signal at the same offset, rising.
+def signal_rows(rows: DataFrame, left: Column, right: Column, relaxed: bool = False) -> DataFrame:
+    """rows with shift, strand, signal_left, signal_right: one for each offset at which both windows have a splice signal.
 
-    Where several signals fit one offset, the last of the list holds.
+    Where several signals fit one offset, the last of the list holds. Offsets are rows, so that the comparison is compiled.
     """
     signals = RELAXED_SIGNALS if relaxed else SIGNALS
-    a, b = F.upper(left), F.upper(right)
-    last = F.least(F.length(a), F.length(b)) - 2
-
-    def at(i: Column) -> Column:
-        x, y = F.substring(a, i + 1, F.lit(2)), F.substring(b, i + 1, F.lit(2))
-        found = F.lit(None)
-        for p, q, strand in signals:
-            found = F.when((x == p) & (y == q), F.struct(i.alias("offset"), F.lit(strand).alias("strand"), F.lit(p).alias("left"), F.lit(q).alias("right"))).otherwise(found)
-        return found
-
-    return F.when(last >= 0, F.filter(F.transform(F.sequence(F.lit(0), last), at), lambda x: x.isNotNull())).otherwise(F.array())
+    each = rows.withColumn("__a", F.upper(left)).withColumn("__b", F.upper(right))
+    last = F.least(F.length("__a"), F.length("__b")) - 2
+    each = each.withColumn("shift", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))).withColumn("signal_left", F.substring("__a", F.col("shift") + 1, F.lit(2))).withColumn("signal_right", F.substring("__b", F.col("shift") + 1, F.lit(2)))
+    strand = F.lit(None).cast("string")
+    for p, q, s in signals:
+        strand = F.when((F.col("signal_left") == p) & (F.col("signal_right") == q), s).otherwise(strand)
+    return each.withColumn("strand", strand).where("strand is not null").drop("__a", "__b")
 
 
 def mate_bucket(flag: Column) -> Column:

@@ -172,9 +172,8 @@ def _signal_sql(signals: tuple) -> str:
 
 
 def _signals(spark: SparkSession, d: str, relaxed: bool) -> DataFrame:
-    found = S.signal_offsets(F.substring("seq", 1, 20), F.substring("seq", 51, 20), relaxed)
-    rows = view(spark, d, "aln").select("read_id", "file_ord", F.explode(found).alias("s"))
-    return rows.select("read_id", "file_ord", F.col("s.offset").alias("shift"), "s.strand", F.col("s.left").alias("signal_left"), F.col("s.right").alias("signal_right"))
+    found = S.signal_rows(view(spark, d, "aln").select("read_id", "file_ord", "seq"), F.substring("seq", 1, 20), F.substring("seq", 51, 20), relaxed)
+    return found.select("read_id", "file_ord", "shift", "strand", "signal_left", "signal_right")
 
 
 @query(_signal_sql(S.SIGNALS))
