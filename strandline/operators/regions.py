@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Region
 
-#: Rows of one candidate that one task judges together.
-ROWS_PER_PART = 4096
+#: Rows of one candidate that one task judges together, and groups of a candidate's rows before that.
+ROWS_PER_PART, SALTS = 4096, 64
 SITE = ["chrom", "site1", "site2"]
 
 
@@ -23,18 +23,22 @@ def cut_regions(sites: DataFrame, chunks: DataFrame, linear_range: int, chunk: i
     reach = F.greatest(F.lit(linear_range), F.col("site2") - F.col("site1") + 5) + 64
     want = sites.withColumn("lo", F.greatest(F.col("site1") - reach, F.lit(0))).withColumn("hi", F.col("site2") + reach)
     want = want.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("lo") / chunk).cast("int"), F.floor(F.col("hi") / chunk).cast("int"))))
+    # Each chunk gives only what is wanted of it, so that a candidate is its own bases in the shuffle, not whole chunks.
     met = want.join(chunks, ["chrom", "chunk"])
-    whole = met.groupBy(*SITE, "lo", "hi", "n").agg(F.array_sort(F.collect_list(F.struct("chunk", "seq"))).alias("parts"))
-    first = F.element_at("parts", 1)["chunk"] * chunk
-    text = F.array_join(F.transform("parts", lambda p: p["seq"]), "")
-    return whole.select(*SITE, F.col("lo").alias("offset"), "n", F.substring(text, F.col("lo") - first + 1, F.col("hi") - F.col("lo")).alias("region"))
+    begin = F.greatest(F.col("lo"), F.col("chunk") * chunk)
+    piece = F.substring("seq", begin - F.col("chunk") * chunk + 1, F.least(F.col("hi"), (F.col("chunk") + 1) * chunk) - begin)
+    whole = met.groupBy(*SITE, "n").agg(F.min(begin).alias("offset"), F.array_sort(F.collect_list(F.struct("chunk", piece.alias("seq")))).alias("parts"))
+    return whole.select(*SITE, "offset", "n", F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("region"))
 
 
 def judge_by_site(rows: DataFrame, regions: DataFrame, judge: Callable[[Region, dict], dict | None], schema: str) -> DataFrame:
     """judge(region, row) for each row, its results put together. A candidate's region goes to the tasks that hold its rows, one for
     each ROWS_PER_PART of them; rows of candidates outside the reference drop out."""
-    sizes = rows.groupBy(*SITE).agg(F.ceil(F.count("*") / ROWS_PER_PART).cast("int").alias("parts"))
-    dealt = rows.join(sizes, SITE).withColumn("deal", F.pmod(F.xxhash64("read_id"), F.col("parts")).cast("int")).drop("parts")
+    # Rows go out by candidate and salt, so that a hot one is many groups before it is dealt, too.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("read_id", F.lit(1)), F.lit(SALTS)).cast("int"))
+    counts = rows.groupBy(*SITE, "salt").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(*SITE).agg(F.ceil(F.sum("n") / ROWS_PER_PART).cast("int").alias("parts"))
+    dealt = rows.join(counts.select(*SITE, "salt").join(sizes, SITE), [*SITE, "salt"]).drop("salt").withColumn("deal", F.pmod(F.xxhash64("read_id"), F.col("parts")).cast("int")).drop("parts")
     spread = regions.join(sizes, SITE).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     names = [x.split()[0] for x in schema.split(", ")]
 
