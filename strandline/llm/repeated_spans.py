@@ -29,7 +29,7 @@ SPAN = 200
 #: A difference cover modulo PERIOD; every residue is a difference of two of its elements.
 PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 SAMPLE = SPAN - PERIOD + 1
-ROUNDS = 6
+ROUNDS = 3
 #: Bytes of a text's key, and fingerprints that a task remembers to have sent.
 KEY, REMEMBERED = 16, 1 << 20
 #: Bytes of text that a task orders at once; a longer text is cut into stretches that overlap by a span.
