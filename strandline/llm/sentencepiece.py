@@ -201,15 +201,14 @@ class Merger:
         """One word of any length, with a heap of merges: time in proportion to n log n."""
         s = [self.symbol.get(c, -1) for c in word]
         nxt, prv = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
-        if not hasattr(self, "_merges"):
-            self._merges = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
-        table = self._merges
         heap: list = []
 
         def push(i: int) -> None:
             j = nxt[i] if i >= 0 else len(s)
-            if j < len(s) and s[i] >= 0 and s[j] >= 0 and (m := table.get(s[i] << 24 | s[j])):
-                heapq.heappush(heap, (m[0], i, j, s[i], s[j], m[1]))
+            if j < len(s) and s[i] >= 0 and s[j] >= 0:
+                at = int(np.searchsorted(self.keys, s[i] << 24 | s[j]))
+                if at < len(self.keys) and self.keys[at] == s[i] << 24 | s[j]:
+                    heapq.heappush(heap, (int(self.rank[at]), i, j, s[i], s[j], int(self.made[at])))
 
         for i in range(len(s) - 1):
             push(i)
