@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None, packed: bool = True) -> DataFrame:
     """df, written once as a table in the shared folder and read from there: lost executors cost no earlier step, and the plan
     starts anew. Files are kept apart by the values of a column, its last, if one is named. The folder is scratch space, to be
     removed with the application."""
@@ -48,6 +48,8 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     spark.conf.set(CLEANUP, "true")  # what was shuffled for the table is not needed beside it
     try:
         written = df.write.option("parquet.block.size", BLOCK_BYTES)
+        if not packed:  # small tables in many files: each codec would hold buffers beside the heap
+            written = written.option("compression", "none")
         (written.partitionBy(by) if by else written).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, salted_lookup
+from .common import cut as cut_packed
+from .common import salted_lookup
 
 #: The kinds whose spans are listed together, in the order of the list; and what is reported apart.
 PERSONAL, SECRET = ("email", "ip", "card", "phone"), "secret"
@@ -69,6 +70,10 @@ def _contexts(before: Column, after: Column) -> Column:
     return _bound(F.struct(last.alias("last"), right.alias("right")), named)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    return cut_packed(df, packed=False)
+
+
 def _matches(text: Column, regex: str) -> Column:
     """array<struct<start, end, value, contexts>> of all matches; start and end in code points."""
     hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
