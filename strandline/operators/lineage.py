@@ -1,4 +1,4 @@
-"""Cut lineage: tables that several later steps read, written once to the shared checkpoint folder."""
+"""Cut lineage, written once to the shared checkpoint folder, and rows spread over all tasks."""
 
 from __future__ import annotations
 
@@ -19,3 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over as many tasks as a shuffle has: a small file is one task, however much is made of each of its rows."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)

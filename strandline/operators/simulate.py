@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .lineage import spread
 
 EXON = ["chrom", "start", "end", "strand"]
 
@@ -138,24 +139,48 @@ def usage_profiles(isoforms: DataFrame, switching: bool = False) -> DataFrame:
     return rows.select("circ_id", "isoform_id", F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, two).otherwise(more).alias("usage"))
 
 
-def _with_errors(rate: float, seed: int):
+_CODES = np.full(256, 4, np.uint64)
+_CODES[list(b"ACGT")] = range(4)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits that look random of each number, by the finish of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def changed_bases(reads: list[str | None], names: list[str], side: str, rate: float, seed: int) -> list[str | None]:
+    """The reads with bases changed to another one at a rate; where and to which is told by seed, name, side and place. All reads
+    are changed side by side."""
+    text = "".join(r or "" for r in reads).encode("ascii", "replace")
+    sizes = np.array([len(r or "") for r in reads], np.int64)
+    ends = np.cumsum(sizes)
+    keys = np.fromiter((hash_of(f"{seed}|{name}|{side}") for name in names), np.uint64, len(names))
+    place = (np.arange(len(text)) - np.repeat(ends - sizes, sizes)).astype(np.uint64)
+    drawn = _mixed(_mixed(np.repeat(keys, sizes) + np.uint64(0x9E3779B97F4A7C15)) + place * np.uint64(0x9E3779B97F4A7C15))
+    at = np.flatnonzero((drawn >> np.uint64(11)) < rate * 2.0**53)
+    bases = np.frombuffer(text, np.uint8).copy()
+    code = _CODES[bases[at]]
+    pick = (drawn[at] & np.uint64(0x7FF)) % np.where(code < 4, 3, 4).astype(np.uint64)
+    bases[at] = np.frombuffer(b"ACGT", np.uint8)[(pick + (pick >= code)).astype(np.int64)]
+    whole = bases.tobytes().decode()
+    return [None if r is None else whole[e - n : e] for r, n, e in zip(reads, sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def _with_errors(pairs: DataFrame, conf: SimConf) -> DataFrame:
+    if conf.error_rate == 0:
+        return pairs
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            names = columns["read_id"].to_pylist()
             for side in ("r1", "r2"):
-                out = []
-                for name, seq in zip(columns["read_id"], columns[side], strict=True):
-                    rng = np.random.default_rng(abs(hash_of(f"{seed}|{name}|{side}")))
-                    b = np.frombuffer(seq.encode(), np.uint8).copy()
-                    at = np.flatnonzero(rng.random(len(b)) < rate)
-                    for i in at.tolist():
-                        others = [c for c in b"ACGT" if c != b[i]]
-                        b[i] = others[int(rng.integers(len(others)))]
-                    out.append(b.tobytes().decode())
-                columns[side] = out
-            yield pa.record_batch([pa.array(columns[n], batch.schema.field(n).type) for n in batch.schema.names], names=batch.schema.names)
+                columns[side] = pa.array(changed_bases(columns[side].to_pylist(), names, side, conf.error_rate, conf.seed), batch.schema.field(side).type)
+            yield pa.record_batch(list(columns.values()), names=batch.schema.names)
 
-    return run
+    return pairs.mapInArrow(run, pairs.schema)
 
 
 def hash_of(text: str) -> int:
@@ -173,7 +198,7 @@ def circular_pairs(isoforms: DataFrame, conf: SimConf, usage: DataFrame | None =
     usage = usage_profiles(isoforms) if usage is None else usage
     rows = isoforms.join(usage.select("isoform_id", "usage"), "isoform_id")
     n = F.greatest(F.round(pair_count(F.col("length"), F.lit(conf.coverage), conf.read_length, 1) * F.col("usage")).cast("long"), F.lit(1))
-    rows = rows.withColumn("pair", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    rows = spread(rows, "isoform_id").withColumn("pair", F.explode(F.sequence(F.lit(1).cast("long"), n)))
     keys = ("isoform_id", "pair")
     rows = rows.withColumn("insert", insert_length(F.col("length"), conf, *keys)).withColumn("from", F.floor(uniform(conf.seed, "start", *keys) * F.col("length")).cast("int"))
     R, L = conf.read_length, F.col("length")
@@ -182,20 +207,20 @@ def circular_pairs(isoforms: DataFrame, conf: SimConf, usage: DataFrame | None =
     over = lambda start: (start % L) + R > L
     rows = rows.select(F.concat_ws(":", "isoform_id", F.col("pair").cast("string")).alias("read_id"), "circ_id", "isoform_id", F.col("from").alias("start"), "insert", around(F.col("from")).alias("r1"), S.strict_reverse_complement(around(second)).alias("r2"), over(F.col("from")).cast("int").alias("r1_is_bsj"), over(second).cast("int").alias("r2_is_bsj"))
     rows = rows.withColumn("is_bsj", F.greatest("r1_is_bsj", "r2_is_bsj"))
-    return rows.mapInArrow(_with_errors(conf.error_rate, conf.seed), rows.schema)
+    return _with_errors(rows, conf)
 
 
 def linear_pairs(transcripts_seq: DataFrame, conf: SimConf) -> DataFrame:
     """Pairs of reads of linear transcripts (transcript_id, seq); starts are drawn where the insert fits, so none is drawn twice."""
     rows = transcripts_seq.withColumn("length", F.length("seq")).where(F.col("length") >= conf.read_length)
     rows = rows.withColumn("n", pair_count(F.col("length"), F.lit(conf.coverage), conf.read_length, 0)).where("n > 0")
-    rows = rows.withColumn("pair", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = spread(rows, "transcript_id").withColumn("pair", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     keys = ("transcript_id", "pair")
     rows = rows.withColumn("insert", F.least(insert_length(F.col("length"), conf, *keys), F.col("length")))
     rows = rows.withColumn("from", F.floor(uniform(conf.seed, "lstart", *keys) * (F.col("length") - F.col("insert") + 1)).cast("int"))
     r2 = S.strict_reverse_complement(F.substring("seq", F.col("from") + F.col("insert") - conf.read_length + 1, F.lit(conf.read_length)))
     rows = rows.select(F.concat_ws(":", "transcript_id", F.col("pair").cast("string")).alias("read_id"), "transcript_id", F.col("from").alias("start"), "insert", F.substring("seq", F.col("from") + 1, F.lit(conf.read_length)).alias("r1"), r2.alias("r2"))
-    return rows.mapInArrow(_with_errors(conf.error_rate, conf.seed), rows.schema)
+    return _with_errors(rows, conf)
 
 
 def outward_truth(a1: Column, b1: Column, a2: Column, b2: Column, least: int = 19) -> Column:
