@@ -497,10 +497,10 @@ def local_alignment_scores(spark: SparkSession, d: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from strandline.functions.kernels import local_alignment
+        from strandline.functions.kernels import local_alignments
 
         for batch in batches:
-            found = [local_alignment(s[:40], s[30:70]) for s in batch.column(1).to_pylist()]
+            found = local_alignments([(s[:40], s[30:70]) for s in batch.column(1).to_pylist()])
             yield pa.record_batch([batch.column(0), pa.array([x for x, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int32())], names=["file_ord", "score", "length"])
 
     return view(spark, d, "aln").select("file_ord", "seq").mapInArrow(run, "file_ord long, score int, length int")

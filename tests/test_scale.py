@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import pytest
 
+from strandline.functions import kernels
 from strandline.operators import simulate
 from strandline.operators.simulate import SimConf
 
@@ -26,3 +27,22 @@ def test_errors_are_drawn_by_read_and_place(spark):
     assert {y for _, y in changed} == set("ACGT") and {x for x, _ in changed} == set("ACGTN")
     alone = simulate.changed_bases(["ACGT" * 25], ["b"], "r1", 0.3, 1)
     assert simulate.changed_bases([None, "", "ACGT" * 25], ["a", "c", "b"], "r1", 0.3, 1) == [None, "", *alone]
+
+
+def test_alignments_side_by_side_are_those_of_each_pair():
+    import random
+
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("ACGTN"[: draw.randint(1, 5)]) for _ in range(n))
+    pairs = [(word(draw.randint(0, 30)), word(draw.randint(0, 30))) for _ in range(300)] + [(word(40), word(40)) for _ in range(300)] + [("acgt", "ACGT"), ("", "A")]
+    for scores in ((1, -1, -1), (1, -1, -3), (2, 0, -1), (1, -1, -900)):
+        assert kernels.local_alignments(pairs, *scores, most_cells=1 << 12) == [kernels.local_alignment(a, b, *scores) for a, b in pairs]
+
+
+def test_alignments_side_by_side_are_quick():
+    import time
+
+    pairs = [("ACGTTGCA" * 5, "TTGCAACG" * 5)] * 5000
+    began = time.process_time()
+    kernels.local_alignments(pairs)
+    assert time.process_time() - began < 2.5  # one by one: a table of Python steps for each
