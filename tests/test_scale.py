@@ -46,3 +46,31 @@ def test_alignments_side_by_side_are_quick():
     began = time.process_time()
     kernels.local_alignments(pairs)
     assert time.process_time() - began < 2.5  # one by one: a table of Python steps for each
+
+
+@pytest.mark.parametrize("most_hot", [100, 0])
+def test_candidates_share_groups_and_hot_ones_are_dealt(spark, monkeypatch, most_hot):
+    from strandline.operators import regions
+
+    monkeypatch.setattr(regions, "ROWS_PER_PART", 8)
+    monkeypatch.setattr(regions, "MOST_HOT", most_hot)
+    sites = [("chr1", 100 * k, 100 * k + 50) for k in range(1, 30)]
+    rows = [(f"r{k}", *sites[0]) for k in range(100)] + [(f"s{k}", *s) for k, s in enumerate(sites)] + [("lost", "chr9", 1, 2)]
+    table = spark.createDataFrame(rows, "read_id string, chrom string, site1 int, site2 int")
+    where = spark.createDataFrame([(*s, s[1] - 10, 9999, "A" * s[1]) for s in sites], "chrom string, site1 int, site2 int, offset int, n int, region string")
+
+    def judge(items):
+        return [None if row["read_id"] == "r7" else {**row, "width": len(region.seq), "together": len(items)} for region, row in items]
+
+    found = regions.judge_by_site(table, where, judge, "read_id string, chrom string, site1 int, site2 int, width int, together int", 50).collect()
+    assert sorted(r.read_id for r in found) == sorted(r[0] for r in rows if r[0] not in ("lost", "r7"))
+    assert all(r.width == r.site1 for r in found)
+    assert max(r.together for r in found if r.read_id[0] == "s" and r.read_id != "s0") > 1  # not a group for each candidate
+
+
+def test_tiles_of_a_small_file_are_not_broadcast(spark):
+    from strandline.plans import planted
+
+    plan = planted.alignments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert planted.tiles(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
