@@ -36,7 +36,8 @@ def with_slots(alignments: DataFrame, *, group: str = "read_id") -> DataFrame:
     record = F.struct(*ORDER)
     length = F.length("seq")
     best = F.max_by(F.struct(reverse_strand(F.col("flag")).alias("reverse"), F.col("seq").alias("seq")), F.struct(length.alias("n"), (-F.col("file_ord")).alias("place"), (-F.col("flag")).alias("flag"), "seq"))
-    rows = alignments.withColumn("slot", slot(F.col("flag")))
+    # Records go out by group, not by slot, so that what is asked of whole groups needs no second shuffle of the sequences.
+    rows = alignments.repartition(group).withColumn("slot", slot(F.col("flag")))
     return rows.groupBy(group, "slot").agg(F.array_sort(F.collect_list(record)).alias("records"), best.alias("best"))
 
 
