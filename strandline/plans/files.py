@@ -25,7 +25,7 @@ def sam_round_trip(spark: SparkSession, d: str) -> DataFrame:
     xa = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("XA:Z:chr2,+"), "pos", F.lit(",100M,0;")))
     line = F.concat_ws("\t", "read_id", "flag", "chrom", "pos", "mapq", "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.repeat(F.lit("I"), F.length("seq")), F.lit("NM:i:0"), xa, F.lit("MD:Z:1"))
     header = spark.createDataFrame([("@HD\tVN:1.6\tSO:queryname",), ("@SQ\tSN:chr1\tLN:5000",), ("",)], "value string")
-    header.unionByName(view(spark, d, "aln").select(line.alias("value"))).write.text(path)
+    header.unionByName(view(spark, d, "aln").select(line.alias("value"))).write.option("compression", "gzip").text(path)
     return text.read_sam(spark, path).select("read_id", "flag", "chrom", "pos", "mapq", "cigar", "seq", "xa")
 
 
