@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,3 +31,16 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     spark = rows.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return rows.repartition(n, *keys)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows plus place, their number in an order from 1 on: ranges of the order are numbered apart, each from the count of the
+    ranges before it, so that no task holds all rows. The ranges' counts alone meet in one task. Rows of one place in the order
+    stay in one range."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = cut(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__before")
+    return ranged.join(before, "__range").withColumn("place", place.cast("int")).drop("__range", "__before")

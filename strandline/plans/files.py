@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cohort, simulate
-from ..operators.lineage import cut
+from ..operators.lineage import cut, numbered
 from ..sources import text
 from .queries import query
 from .views import cte, view
@@ -113,10 +113,8 @@ def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("select cast(row_number() over (order by read_id) as int) as place, read_id || chr(10) || r1 || chr(10) || '+' || chr(10) || repeat('I', length(r1)) as record from (select '@o' || o_orderkey || '/1' as read_id, repeat('ACGT', cast(1 + o_orderkey % 9 as int)) as r1 from orders)")
 def fastq_records(spark: SparkSession, d: str) -> DataFrame:
     """Records of one side's reads, as a gzip file holds them."""
-    from pyspark.sql import Window
-
     path = folder(spark)
     reads = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("o"), "o_orderkey").alias("read_id"), F.repeat(F.lit("ACGT"), (1 + F.col("o_orderkey") % 9).cast("int")).alias("r1"))
     simulate.fastq_lines(reads, "r1").write.option("compression", "gzip").text(path)
     rows = spark.read.text(path, lineSep="\n@").select(F.concat(F.lit("@"), F.regexp_replace(F.regexp_replace("value", "^@", ""), "\n$", "")).alias("record"))
-    return rows.select(F.row_number().over(Window.orderBy(F.substring_index("record", "\n", 1))).alias("place"), "record")
+    return numbered(rows.withColumn("name", F.substring_index("record", "\n", 1)), "name").select("place", "record")

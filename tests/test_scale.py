@@ -74,3 +74,31 @@ def test_tiles_of_a_small_file_are_not_broadcast(spark):
     plan = planted.alignments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert planted.tiles(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_rows_are_numbered_by_many_tasks(spark):
+    from strandline.operators.lineage import numbered
+
+    rows = numbered(spark.range(2000).selectExpr("concat('n', id % 1999) as name", "id"), "name")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert all("__range" in line or "[name" not in line for line in plan.splitlines() if "Window" in line or "SinglePartition" in line)
+    got = sorted((r.place, r.name) for r in rows.collect())
+    assert [p for p, _ in got] == list(range(1, 2001)) and [n for _, n in got] == sorted(n for _, n in got)
+
+
+def test_sequences_of_groups_are_shuffled_once(spark):
+    from strandline.operators import read_groups
+    from strandline.plans.views import view
+
+    groups = read_groups.work_groups(read_groups.with_slots(view(spark, "/root/testdata/sf0.001", "aln")))
+    assert groups._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_sam_is_written_packed(spark, monkeypatch, tmp_path):
+    from pathlib import Path
+
+    from strandline.plans import files
+
+    monkeypatch.setattr(files, "folder", lambda _: str(tmp_path / "sam"))
+    n = files.sam_round_trip(spark, "/root/testdata/sf0.001").count()
+    assert sum(f.stat().st_size for f in Path(tmp_path / "sam").glob("part-*")) < 100 * n
