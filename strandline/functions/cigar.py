@@ -24,14 +24,20 @@ def total(operations: Column, kinds: str) -> Column:
     return F.aggregate(operations, F.lit(0), lambda s, x: s + F.when(F.contains(F.lit(kinds), x["op"]), x["n"]).otherwise(0))
 
 
+def length_of(cigar: Column, kinds: str) -> Column:
+    """total of the operations of a CIGAR, of which only the numbers of those kinds are taken out."""
+    found = F.regexp_extract_all(F.when(cigar.rlike(VALID), cigar).otherwise(""), F.lit(f"([0-9]+)[{kinds}]"), 1)
+    return F.aggregate(found.cast("array<int>"), F.lit(0), lambda s, n: s + n)
+
+
 def reference_length(cigar: Column) -> Column:
     """Reference bases under the alignment (M D N = X)."""
-    return total(ops(cigar), "MDN=X")
+    return length_of(cigar, "MDN=X")
 
 
 def query_length(cigar: Column) -> Column:
     """Read bases that the alignment consumes (M I S = X)."""
-    return total(ops(cigar), "MIS=X")
+    return length_of(cigar, "MIS=X")
 
 
 def span_end(pos: Column, cigar: Column) -> Column:
@@ -52,20 +58,26 @@ def _shape(kind, a, b, ref) -> Column:
     return F.struct(*(F.coalesce(x if isinstance(x, Column) else F.lit(x)).cast("int").alias(n) for x, n in ((kind, "kind"), (a, "a"), (b, "b"), (ref, "ref"))))
 
 
-def classify(cigar: Column, read_length: Column, relaxed: bool = False) -> Column:
+def letters(cigar: Column) -> Column:
+    """The letters of a CIGAR, H as S."""
+    return F.translate(cigar, "H0123456789", "S")
+
+
+def classify(cigar: Column, read_length: Column, relaxed: bool = False, word: Column | None = None) -> Column:
     """struct<kind, a, b, ref>: where a read is clipped. kind -1: clip then match, 1: match then clip, 10: both ends, 0: neither.
 
     ref is the reference length; -1 and -2 mark strings that say nothing. relaxed is the form of the segment filter: a lone match
-    must be of the read's length, any one operation may stand between two clips, and = and X count as matches.
+    must be of the read's length, any one operation may stand between two clips, and = and X count as matches. word: the CIGAR's
+    letters, where they are a column already.
     """
     # Letters and the outer numbers tell nearly all kinds; only strings of four operations or more are taken apart.
     number = lambda pattern: F.coalesce(F.regexp_extract(cigar, pattern, 1).try_cast("int"), F.lit(0))
-    word = F.translate(cigar, "H0123456789", "S")
+    word = letters(cigar) if word is None else word
     n = F.length(word)
     first, last, mid = number("^([0-9]+)"), number("([0-9]+)[A-Z=]$"), number("^[0-9]+.([0-9]+)")
     lone = (word == "M") & (first == read_length) if relaxed else word == "M"
     both = (n == 3) & word.startswith("S") & word.endswith("S") if relaxed else word == "SMS"
-    inner = total(ops(cigar), ("M=X" if relaxed else "M") + "D")
+    inner = length_of(cigar, ("M=X" if relaxed else "M") + "D")
 
     def long(o: Column) -> Column:
         ends = F.concat(F.left(word, F.lit(1)), F.right(word, F.lit(1)))
@@ -113,8 +125,8 @@ def match_to_match_length(cigar: Column) -> Column:
 
 def end_clips(cigar: Column) -> Column:
     """struct<five, three>: clipped bases at the two ends, in the order of the string; null if it is no CIGAR."""
-    clip = lambda x: F.when(x["op"].isin("S", "H"), x["n"]).otherwise(0)
-    return bind(ops(cigar), lambda o: F.when(F.size(o) > 0, F.struct(clip(F.element_at(o, 1)).alias("five"), clip(F.element_at(o, -1)).alias("three"))))
+    number = lambda pattern: F.coalesce(F.regexp_extract(cigar, pattern, 1).try_cast("int"), F.lit(0))
+    return F.when(cigar.rlike(VALID), F.struct(number("^([0-9]+)[SH]").alias("five"), number("([0-9]+)[SH]$").alias("three")))
 
 
 def match_blocks(pos: Column, cigar: Column) -> Column:
@@ -124,7 +136,10 @@ def match_blocks(pos: Column, cigar: Column) -> Column:
         F.when(F.contains(F.lit("M=X"), x["op"]), F.concat(s["blocks"], F.array(F.struct(s["at"].alias("start"), (s["at"] + x["n"] - 1).alias("end"))))).otherwise(s["blocks"]).alias("blocks"),
     )
     zero = F.struct(pos.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("blocks"))
-    return F.aggregate(ops(cigar), zero, step, lambda s: s["blocks"])
+    # Nearly all strings have one block, between clips; only the others are taken apart.
+    n = F.regexp_extract(cigar, "([0-9]+)[M=X]", 1).try_cast("int")
+    one = F.array(F.struct(pos.cast("int").alias("start"), (pos.cast("int") + n - 1).alias("end")))
+    return F.when(cigar.rlike("^([0-9]+[SHP])*[0-9]+[M=X]([0-9]+[SHP])*$"), one).otherwise(F.aggregate(ops(cigar), zero, step, lambda s: s["blocks"]))
 
 
 def spliced_cigar(blocks: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConf
 from ..functions import cigar as C
-from .read_groups import reverse_strand
+from .read_groups import reverse_strand, slot
 
 
 def quotient(a: Column, b: int) -> Column:
@@ -17,7 +17,15 @@ def quotient(a: Column, b: int) -> Column:
 
 def classified(records: DataFrame, read_length: Column) -> DataFrame:
     """records plus kind, a, b, ref of their CIGAR."""
-    return records.withColumn("shape", C.classify(F.col("cigar"), read_length)).select("*", "shape.*").drop("shape")
+    return shaped(records, read_length).select("*", "shape.*").drop("shape")
+
+
+def shaped(records: DataFrame, read_length: Column, relaxed: bool = False) -> DataFrame:
+    """records plus shape, the class of their CIGAR, computed once for each: an exploded column is not put in place of its name in
+    what asks for it, as a plain one would be, in filters as often as they name it."""
+    rows = records.withColumn("__letters", C.letters(F.col("cigar")))
+    rows = rows.withColumn("__shape", F.array(C.classify(F.col("cigar"), read_length, relaxed, F.col("__letters"))))
+    return rows.withColumn("shape", F.explode_outer("__shape")).drop("__letters", "__shape")
 
 
 def candidate_pairs(records: DataFrame, conf: EngineConf, group: list[str]) -> DataFrame:
@@ -28,15 +36,15 @@ def candidate_pairs(records: DataFrame, conf: EngineConf, group: list[str]) -> D
     kind. site1 and site2 are where the read's parts meet the reference; adj1 and adj2 are the shifts of the two; left_end and
     right_start cut the read, tail is what stands outside.
     """
-    # Only clipped records make a pair; the others need not be shuffled.
-    records = records.where("kind <> 0")
-    side = lambda s: records.select(*group, *(F.col(c).alias(f"{c}_{s}") for c in ("ord", "flag", "chrom", "pos", "mapq", "cigar", "kind", "a", "b", "ref")), F.col("L").alias(f"L_{s}"))
-    both = side("1").join(side("2"), group).where("ord_1 < ord_2")
-    both = both.where((F.col("chrom_1") == F.col("chrom_2")) & (F.col("chrom_1") != "chrM") & (reverse_strand(F.col("flag_1")) == reverse_strand(F.col("flag_2"))))
-    both = both.where(((F.col("mapq_1") >= conf.min_mapq) | (F.col("mapq_2") >= conf.min_mapq)) & (F.col("cigar_1") != "*") & (F.col("cigar_2") != "*"))
-    swap = F.col("kind_1") > F.col("kind_2")
-    for c in ("pos", "mapq", "cigar", "kind", "a", "b", "ref"):
-        both = both.withColumn(f"{c}_x", F.when(swap, F.col(f"{c}_2")).otherwise(F.col(f"{c}_1"))).withColumn(f"{c}_y", F.when(swap, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")))
+    # Only clipped records make a pair; the others need not be shuffled. Both sides are the same rows, so they are made once, and
+    # the kinds are told apart in the join: x < y of three kinds are the pairs that can fit.
+    records = records.where("kind <> 0").withColumn("rev", reverse_strand(F.col("flag")))
+    side = lambda s: records.select(*group, "chrom", "rev", *(F.col(c).alias(f"{c}_{s}") for c in ("ord", "flag", "pos", "mapq", "cigar", "kind", "a", "b", "ref", "L")))
+    both = side("x").join(side("y"), [*group, "chrom", "rev"]).where("kind_x < kind_y and ord_x <> ord_y")
+    both = both.where((F.col("chrom") != "chrM") & ((F.col("mapq_x") >= conf.min_mapq) | (F.col("mapq_y") >= conf.min_mapq)))
+    swap = F.col("ord_x") > F.col("ord_y")
+    for c in ("ord", "flag", "cigar", "L"):
+        both = both.withColumn(f"{c}_1", F.when(swap, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x"))).withColumn(f"{c}_2", F.when(swap, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")))
     x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
     L = F.col("L_1")
     style = F.when((x("kind") == -1) & (y("kind") == 1), "ends").when((x("kind") == -1) & (y("kind") == 10), "left").when((x("kind") == 1) & (y("kind") == 10), "right")
@@ -55,10 +63,21 @@ def candidate_pairs(records: DataFrame, conf: EngineConf, group: list[str]) -> D
     both = both.withColumn("site1", low).withColumn("site2", high).withColumn("cut", cut)
     both = both.withColumn("q1", flag(F.when(F.col("style") == "right", y("mapq")).otherwise(x("mapq")))).withColumn("q2", flag(F.when(F.col("style") == "right", x("mapq")).otherwise(y("mapq"))))
     both = both.withColumn("sum_q", (F.col("q1") + F.col("q2") == 2).cast("int"))
-    names = ["chrom_1 as chrom", "ord_1", "ord_2", "style", "span", "adj1", "adj2", "site1", "site2", "cut", "a_y", "b_y", "q1", "q2", "sum_q", "flag_1 as flag", "L_1 as L", "concat_ws(';', cigar_1, cigar_2) as cigars"]
+    names = ["chrom", "ord_1", "ord_2", "style", "span", "adj1", "adj2", "site1", "site2", "cut", "a_y", "b_y", "q1", "q2", "sum_q", "flag_1 as flag", "L_1 as L", "concat_ws(';', cigar_1, cigar_2) as cigars"]
     return both.selectExpr(*group, *names)
 
 
+def mates_of(alignments: DataFrame, found: DataFrame) -> DataFrame:
+    """read_id, slot and, as mate_flag takes them, the records of the other mate in order, for the reads of found alone. Records go
+    out without their bases, and only those of these reads are put together."""
+    names = ["file_ord", "flag", "chrom", "pos", "mapq", "cigar"]
+    rows = alignments.select("read_id", (1 - slot(F.col("flag"))).alias("slot"), *names)
+    rows = found.select("read_id", "slot").distinct().join(rows, ["read_id", "slot"])
+    records = rows.groupBy("read_id", "slot").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("records"))
+    span = lambda r: F.struct(r["chrom"].alias("chrom"), r["mapq"].alias("mapq"), r["flag"].alias("flag"), r["pos"].alias("start"), (r["pos"] + C.reference_length(r["cigar"]) - 1).alias("end"))
+    return records.select("read_id", "slot", F.transform("records", span).alias("mates"))
+
+
 def mate_flag(mates: Column, chrom: Column, reverse: Column, site1: Column, site2: Column, paired: Column, conf: EngineConf) -> Column:
     """Whether the other mate agrees: 1 if the first of its records on the chromosome that maps well is on the other strand inside
     the junction, -1 if it is not, 0 if there is none; 1 for reads without a mate. mates: records with span ends (start, end)."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConf
 from ..functions import cigar as C
 from ..functions import sequence as S
+from .pairs import shaped
 from .read_groups import reverse_strand
 
 
@@ -24,8 +25,10 @@ def outward_geometry(s: str, t: str, least: int) -> Column:
 
 
 def _spans(alignments: DataFrame) -> DataFrame:
-    rows = alignments.withColumn("start", F.col("pos")).withColumn("end", C.span_end(F.col("pos"), F.col("cigar"))).withColumn("clips", C.end_clips(F.col("cigar")))
-    return rows.withColumn("mate", S.mate_bucket(F.col("flag")))
+    # Exploded, so that filters do not compute them again.
+    spans = F.array(F.struct(C.span_end(F.col("pos"), F.col("cigar")).alias("end"), C.end_clips(F.col("cigar")).alias("clips")))
+    rows = alignments.withColumn("__spans", spans).withColumn("__span", F.explode_outer("__spans")).select("*", "__span.*").drop("__spans", "__span")
+    return rows.withColumn("start", F.col("pos")).withColumn("mate", S.mate_bucket(F.col("flag")))
 
 
 def outward_primary(alignments: DataFrame, conf: EngineConf) -> DataFrame:
@@ -55,25 +58,27 @@ def outward_any(alignments: DataFrame, conf: EngineConf) -> DataFrame:
 def backward_split(alignments: DataFrame) -> DataFrame:
     """read_id of reads two of whose records, on one strand, lie against the order of the read; the sign is that of a linear gap,
     the opposite of the junction candidates'."""
-    rows = alignments.where((F.col("chrom") != "*") & (F.col("cigar") != "*"))
-    side = lambda s: rows.select("read_id", "chrom", reverse_strand(F.col("flag")).alias("rev"), *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "cigar", "file_ord")), F.coalesce(F.length("seq"), F.lit(0)).alias(f"n_{s}"))
-    both = side("1").join(side("2"), ["read_id", "chrom", "rev"]).where("file_ord_1 < file_ord_2").withColumn("L", F.greatest("n_1", "n_2")).where("L > 0")
-    for s in "12":
-        both = both.withColumn(f"k_{s}", C.classify(F.col(f"cigar_{s}"), F.col("L"), relaxed=True))
-    swap = F.col("k_1.kind") > F.col("k_2.kind")
-    both = both.withColumn("x", F.when(swap, F.col("k_2")).otherwise(F.col("k_1"))).withColumn("y", F.when(swap, F.col("k_1")).otherwise(F.col("k_2")))
-    both = both.withColumn("px", F.when(swap, F.col("pos_2")).otherwise(F.col("pos_1"))).withColumn("py", F.when(swap, F.col("pos_1")).otherwise(F.col("pos_2")))
-    x, y, px, py, L = F.col("x"), F.col("y"), F.col("px"), F.col("py"), F.col("L")
-    ends = (x["kind"] == -1) & (y["kind"] == 1) & (F.abs(x["a"] - y["a"]) <= 6) & (py + y["b"] - px - x["b"] < 0)
-    left = (x["kind"] == -1) & (y["kind"] == 10) & (F.abs(L - y["b"] - x["a"]) <= 6) & (py + y["ref"] - 1 - px < 0)
-    right = (x["kind"] == 1) & (y["kind"] == 10) & (F.abs(x["a"] - y["a"]) <= 6) & (px + x["ref"] - 1 - py < 0)
-    return both.where(ends | left | right).select("read_id").distinct()
+    n = F.coalesce(F.length("seq"), F.lit(0))
+    rows = shaped(alignments.where((F.col("chrom") != "*") & (F.col("cigar") != "*")).withColumn("n", n), F.lit(0), relaxed=True).where("shape.kind <> 0")
+    # The read's length is that of the pair's longer sequence. Only a (match, then clip, of four operations and more) depends on it:
+    # it is classified with length 0 and moved by the length once the pair is known.
+    moved = (F.col("shape.kind") == 1) & (F.length(C.letters(F.col("cigar"))) > 3)
+    rows = rows.select("read_id", "chrom", reverse_strand(F.col("flag")).alias("rev"), "pos", "file_ord", "n", "shape.*", moved.alias("moved"))
+    side = lambda s: rows.select("read_id", "chrom", "rev", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "file_ord", "n", "kind", "a", "b", "ref", "moved")))
+    both = side("x").join(side("y"), ["read_id", "chrom", "rev"]).where("kind_x < kind_y and file_ord_x <> file_ord_y")
+    x, y, L = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y")), F.greatest("n_x", "n_y")
+    ax, ay = (v("a") + F.when(v("moved"), L).otherwise(0) for v in (x, y))
+    ends = (x("kind") == -1) & (y("kind") == 1) & (F.abs(ax - ay) <= 6) & (y("pos") + y("b") - x("pos") - x("b") < 0)
+    left = (x("kind") == -1) & (y("kind") == 10) & (F.abs(L - y("b") - ax) <= 6) & (y("pos") + y("ref") - 1 - x("pos") < 0)
+    right = (x("kind") == 1) & (y("kind") == 10) & (F.abs(ax - ay) <= 6) & (x("pos") + x("ref") - 1 - y("pos") < 0)
+    return both.where((L > 0) & (ends | left | right)).select("read_id").distinct()
 
 
 def segment_reads(alignments: DataFrame, claimed: DataFrame, conf: EngineConf) -> DataFrame:
     """read_id of reads without junction evidence that may show a segment of a circle: outward or backward."""
-    rest = alignments.join(claimed.select("read_id").distinct(), "read_id", "left_anti")
-    return outward_primary(rest, conf).union(outward_any(rest, conf)).union(backward_split(rest)).distinct()
+    # Each rule looks at one read's records only, so claimed reads are taken from what is found, not from all records.
+    found = outward_primary(alignments, conf).union(outward_any(alignments, conf)).union(backward_split(alignments)).distinct()
+    return found.join(claimed.select("read_id").distinct(), "read_id", "left_anti")
 
 
 def compact_records(alignments: DataFrame, reads: DataFrame) -> DataFrame:

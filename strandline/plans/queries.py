@@ -13,6 +13,7 @@ from ..functions import keys as K
 from ..functions import sequence as S
 from ..operators import cohort, linear, pairs, read_groups, segments, simulate, summary
 from ..operators.detect import candidates_of, near_sites, with_catalog
+from ..operators.lineage import cut
 from ..operators.regions import SITE
 from ..operators.simulate import SimConf
 from .annotation import exon_boundaries, exon_chains, gene_spans, splice_pairs
@@ -157,8 +158,8 @@ def pair_candidates(spark: SparkSession, d: str) -> DataFrame:
     select read_id, slot, ord_1, ord_2, cast(site1 as int) as site1, cast(site2 as int) as site2, cast(case when n = 0 then 1 when near is null then 0 when near[1].pos >= site1 - 6 and near[1].pos + near[1].rl - 1 <= site2 + 6 and (near[1].flag // 16) % 2 <> (flag // 16) % 2 then 1 else -1 end as int) as agrees from m""")
 def mate_consistency(spark: SparkSession, d: str) -> DataFrame:
     found = pairs.candidate_pairs(_classified_records(spark, d), CONF, ["read_id", "slot"])
-    mates = read_groups.with_slots(view(spark, d, "aln")).select("read_id", (1 - F.col("slot")).alias("slot"), F.transform("records", lambda r: F.struct(r["chrom"].alias("chrom"), r["mapq"].alias("mapq"), r["flag"].alias("flag"), r["pos"].alias("start"), (r["pos"] + C.reference_length(r["cigar"]) - 1).alias("end"))).alias("mates"))
-    rows = found.join(mates, ["read_id", "slot"], "left")
+    found = cut(found.select("read_id", "slot", "ord_1", "ord_2", *SITE, "flag"))
+    rows = found.join(pairs.mates_of(view(spark, d, "aln"), found), ["read_id", "slot"], "left")
     agrees = pairs.mate_flag(F.coalesce("mates", F.array()), F.col("chrom"), read_groups.reverse_strand(F.col("flag")), F.col("site1"), F.col("site2"), F.col("mates").isNotNull(), CONF)
     return rows.select("read_id", "slot", "ord_1", "ord_2", "site1", "site2", agrees.alias("agrees"))
 
@@ -217,7 +218,7 @@ def first_hit(spark: SparkSession, d: str) -> DataFrame:
 def interval_linear(spark: SparkSession, d: str) -> DataFrame:
     candidates = candidates_of(view(spark, d, "ev"))
     keys = linear.spanned_sites(linear.linear_interval(_classified_records(spark, d)), candidates, 88)
-    return linear.linear_counts(keys, candidates)
+    return linear.linear_counts(keys, candidates, once=True)
 
 
 @query(f"""with {cte('aln', 'ev')}, {CIG}, {CAND}, b as (select read_id, chrom, pos, unnest(range(1, n + 1)) as i, ns, ls from p),
@@ -464,7 +465,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     evidence, exons = view(spark, d, "ev"), view(spark, d, "gtf")
     candidates = candidates_of(evidence)
     keys = linear.spanned_sites(linear.linear_interval(_classified_records(spark, d)), candidates, 88)
-    found = summary.summarize(evidence, linear.linear_counts(keys, candidates), 0, (*exon_boundaries(exons), exons, gene_spans(exons)))
+    found = summary.summarize(evidence, linear.linear_counts(keys, candidates, once=True), 0, (*exon_boundaries(exons), exons, gene_spans(exons)))
     return summary.ordered(found)
 
 

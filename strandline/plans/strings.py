@@ -99,7 +99,7 @@ def junction_exon_offsets(spark: SparkSession, d: str) -> DataFrame:
 def strong_linear(spark: SparkSession, d: str) -> DataFrame:
     """Reads over a junction's site with an anchor on both sides, or at a skipped stretch."""
     records, candidates = _classified_records(spark, d), candidates_of(view(spark, d, "ev"))
-    return linear.strong_sites(records, linear.spanned_sites(linear.linear_interval(records), candidates, 88), 19).select("read_id", *SITE)
+    return linear.strong_spanned(records, candidates, 88, 19)
 
 
 def _segment_reads_sql() -> str:

@@ -110,3 +110,38 @@ def test_records_without_clips_stay_out_of_the_pairs_shuffle(spark):
     found = queries.pair_candidates(spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(".kind = 0)") == 2  # NOT (kind = 0), once for each side
+
+
+@pytest.mark.parametrize("name", ["backward_pairs", "pair_candidates", "mate_consistency", "segment_candidates", "interval_linear", "strong_linear"])
+def test_records_are_classified_once(spark, name):
+    from strandline.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line for line in plan.splitlines() if "-999" not in line]
+    # The last resort of a classification; sides of a self-join are one exchange.
+    assert all(line.count("[0,0,0,-2]") <= 3 for line in nodes)
+    assert sum(line.count("[0,0,0,-2]") for line in nodes) <= 6
+
+
+def test_reads_meet_sites_before_junctions_are_made(spark, monkeypatch):
+    from strandline.operators import linear
+
+    junctions = [("c", 100, e) for e in range(200, 260)] + [("c", s, 400) for s in range(90, 110)] + [("c", 120, 120)]
+    candidates = spark.createDataFrame(junctions, "chrom string, site1 int, site2 int")
+    kind = "read_id string, chrom string, pos int, cigar string, L int, kind int, ref int"
+    records = spark.createDataFrame([("a", "c", 60, "100M", 100, 0, 100), ("a", "c", 200, "100M", 100, 0, 100), ("b", "c", 60, "35M100N65M", 100, 0, 200), ("d", "c", 90, "*", 100, 0, -1)], kind)
+    spanned = linear.spanned_sites(linear.linear_interval(records), candidates, 88)
+    some = {(r.read_id, r.site1, r.site2) for r in spanned.collect()}
+    assert len(some) == spanned.count() and ("a", 120, 120) in some and {x for x in some if x[0] == "a"} >= {("a", 100, e) for e in range(200, 260)}
+    strong = sorted(map(tuple, linear.strong_spanned(records, candidates, 88, 19).collect()))
+    assert strong and strong == sorted(map(tuple, linear.strong_sites(records, spanned, 19).collect())) and len(strong) == len(set(strong))
+    monkeypatch.setattr(linear, "MOST_SITES", 0)
+    assert strong == sorted(map(tuple, linear.strong_spanned(records, candidates, 88, 19).collect()))
+
+
+def test_blocks_and_clips_of_any_string(spark):
+    from strandline.functions import cigar as C
+
+    rows = spark.createDataFrame([("5S10M2H",), ("10M",), ("3H2S4=",), ("5M2D5M",), ("*",), ("10S",), ("M",), (None,)], "c string").selectExpr("c", "7 as pos")
+    got = [(r.c, [tuple(b) for b in r.b], r.e and tuple(r.e)) for r in rows.select("c", C.match_blocks(rows.pos, rows.c).alias("b"), C.end_clips(rows.c).alias("e")).collect()]
+    assert got == [("5S10M2H", [(7, 16)], (5, 2)), ("10M", [(7, 16)], (0, 0)), ("3H2S4=", [(7, 10)], (3, 0)), ("5M2D5M", [(7, 11), (14, 18)], (0, 0)), ("*", [], None), ("10S", [], (10, 10)), ("M", [], None), (None, [], None)]
