@@ -63,18 +63,18 @@ def letters(cigar: Column) -> Column:
     return F.translate(cigar, "H0123456789", "S")
 
 
-def classify(cigar: Column, read_length: Column, relaxed: bool = False, word: Column | None = None) -> Column:
+def classify(cigar: Column, read_length: Column, relaxed: bool = False, word: Column | None = None, numbers: Column | None = None) -> Column:
     """struct<kind, a, b, ref>: where a read is clipped. kind -1: clip then match, 1: match then clip, 10: both ends, 0: neither.
 
     ref is the reference length; -1 and -2 mark strings that say nothing. relaxed is the form of the segment filter: a lone match
-    must be of the read's length, any one operation may stand between two clips, and = and X count as matches. word: the CIGAR's
-    letters, where they are a column already.
+    must be of the read's length, any one operation may stand between two clips, and = and X count as matches. word and
+    numbers: the CIGAR's letters and numbers, where they are columns already.
     """
     # Letters and the outer numbers tell nearly all kinds; only strings of four operations or more are taken apart.
-    number = lambda pattern: F.coalesce(F.regexp_extract(cigar, pattern, 1).try_cast("int"), F.lit(0))
     word = letters(cigar) if word is None else word
+    numbers = F.split(cigar, "[A-Z=]") if numbers is None else numbers
     n = F.length(word)
-    first, last, mid = number("^([0-9]+)"), number("([0-9]+)[A-Z=]$"), number("^[0-9]+.([0-9]+)")
+    first, last, mid = (F.coalesce(F.get(numbers, i).try_cast("int"), F.lit(0)) for i in (F.lit(0), n - 1, F.lit(1)))
     lone = (word == "M") & (first == read_length) if relaxed else word == "M"
     both = (n == 3) & word.startswith("S") & word.endswith("S") if relaxed else word == "SMS"
     inner = length_of(cigar, ("M=X" if relaxed else "M") + "D")

@@ -23,9 +23,9 @@ def classified(records: DataFrame, read_length: Column) -> DataFrame:
 def shaped(records: DataFrame, read_length: Column, relaxed: bool = False) -> DataFrame:
     """records plus shape, the class of their CIGAR, computed once for each: an exploded column is not put in place of its name in
     what asks for it, as a plain one would be, in filters as often as they name it."""
-    rows = records.withColumn("__letters", C.letters(F.col("cigar")))
-    rows = rows.withColumn("__shape", F.array(C.classify(F.col("cigar"), read_length, relaxed, F.col("__letters"))))
-    return rows.withColumn("shape", F.explode_outer("__shape")).drop("__letters", "__shape")
+    rows = records.withColumn("__letters", C.letters(F.col("cigar"))).withColumn("__numbers", F.split("cigar", "[A-Z=]"))
+    rows = rows.withColumn("__shape", F.array(C.classify(F.col("cigar"), read_length, relaxed, F.col("__letters"), F.col("__numbers"))))
+    return rows.withColumn("shape", F.explode_outer("__shape")).drop("__letters", "__numbers", "__shape")
 
 
 def candidate_pairs(records: DataFrame, conf: EngineConf, group: list[str]) -> DataFrame:

@@ -68,9 +68,11 @@ def backward_split(alignments: DataFrame) -> DataFrame:
     both = side("x").join(side("y"), ["read_id", "chrom", "rev"]).where("kind_x < kind_y and file_ord_x <> file_ord_y")
     x, y, L = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y")), F.greatest("n_x", "n_y")
     ax, ay = (v("a") + F.when(v("moved"), L).otherwise(0) for v in (x, y))
-    ends = (x("kind") == -1) & (y("kind") == 1) & (F.abs(ax - ay) <= 6) & (y("pos") + y("b") - x("pos") - x("b") < 0)
-    left = (x("kind") == -1) & (y("kind") == 10) & (F.abs(L - y("b") - ax) <= 6) & (y("pos") + y("ref") - 1 - x("pos") < 0)
-    right = (x("kind") == 1) & (y("kind") == 10) & (F.abs(ax - ay) <= 6) & (x("pos") + x("ref") - 1 - y("pos") < 0)
+    # Both kinds in one number: told apart by side, they would be filters that make two different inputs of the one.
+    kinds = 100 * x("kind") + y("kind")
+    ends = (kinds == -99) & (F.abs(ax - ay) <= 6) & (y("pos") + y("b") - x("pos") - x("b") < 0)
+    left = (kinds == -90) & (F.abs(L - y("b") - ax) <= 6) & (y("pos") + y("ref") - 1 - x("pos") < 0)
+    right = (kinds == 110) & (F.abs(ax - ay) <= 6) & (x("pos") + x("ref") - 1 - y("pos") < 0)
     return both.where((L > 0) & (ends | left | right)).select("read_id").distinct()
 
 
