@@ -26,21 +26,32 @@ def aggregate_junctions(evidence: DataFrame) -> DataFrame:
     """
     sure, yes, no = F.col("q") != 3, F.col("tag") == 1, F.col("tag").isin(-1, -2)
     when = lambda cond, c="cigar": F.when(cond, F.col(c))
-    rows = evidence.select("read_id", "cigar", "tag", *SITE, "strand", "q").distinct()
-    votes = rows.groupBy(*SITE, "strand").agg(F.count("*").alias("n"))
-    strand = votes.groupBy(*SITE).agg(F.min_by("strand", F.struct((-F.col("n")).alias("n"), "strand")).alias("strand"))
-    whole = rows.groupBy(*SITE).agg(
-        F.count_distinct(when(yes & sure, "read_id")).alias("tp"),
-        F.count_distinct(when(yes, "read_id")).alias("tp_all"),
+    # Rows go out by junction and read once, and are counted by read there: distinct counts of several kinds in one aggregate would
+    # multiply all rows, with what is collected beside them. CIGARs and strands are few for each junction.
+    rows = evidence.select("read_id", "cigar", "tag", *SITE, "strand", "q").repartition(*SITE, "read_id").distinct()
+    named = F.col("read_id").isNotNull()
+    some = lambda cond: F.max(F.coalesce(cond, F.lit(False)).cast("int"))
+    reads = rows.groupBy(*SITE, "read_id").agg(
+        some(yes & sure & named).alias("tp"),
+        some(yes & named).alias("tp_all"),
         F.count(F.when((F.col("tag") == -1) & sure, 1)).alias("other"),
         F.count(F.when((F.col("tag") == -2) & sure, 1)).alias("fp"),
         F.count(F.when(yes & (F.col("q") == 1), 1)).alias("score"),
+    )
+    counts = ("tp", "tp_all", "other", "fp", "score")
+    read_ids = F.sort_array(F.collect_list(F.when(F.col("tp_all") == 1, F.col("read_id")))).alias("read_ids")
+    whole = reads.groupBy(*SITE).agg(*(F.sum(c).alias(c) for c in counts), read_ids)
+    tally = rows.groupBy(*SITE, "strand", "tag", "cigar", sure.alias("sure")).agg(F.count("*").alias("n"))
+    votes = tally.groupBy(*SITE, "strand").agg(F.sum("n").alias("n"))
+    strand = votes.groupBy(*SITE).agg(F.min_by("strand", F.struct((-F.col("n")).alias("n"), "strand")).alias("strand"))
+    sure = F.col("sure")
+    texts = tally.groupBy(*SITE).agg(
         _split(when(yes & sure)).alias("cigars"),
         F.collect_set(when(yes & ~sure)).alias("whole_cigars"),
         _split(when(no & sure)).alias("false_cigars"),
         F.collect_set(when(no & ~sure)).alias("whole_false_cigars"),
-        F.array_sort(F.collect_set(when(yes, "read_id"))).alias("read_ids"),
     )
+    whole = whole.join(texts, SITE)
     whole = whole.withColumn("all_cigars", F.array_union("cigars", "whole_cigars")).withColumn("all_false_cigars", F.array_union("false_cigars", "whole_false_cigars"))
     return whole.join(strand, SITE)
 
@@ -178,5 +189,7 @@ def ordered(results: DataFrame) -> DataFrame:
 
 def totals(results: DataFrame) -> DataFrame:
     """junctions and the distinct reads that support them."""
-    reads = results.select(F.explode(F.split("read_ids", ",")).alias("read")).agg(F.count_distinct("read").alias("reads"))
-    return results.agg(F.count("*").alias("junctions")).crossJoin(reads)
+    # In one pass: each result is counted at its first read.
+    reads = results.select(F.posexplode_outer(F.split("read_ids", ",")).alias("i", "read"))
+    per_read = reads.groupBy("read").agg(F.count(F.when(F.coalesce("i", F.lit(0)) == 0, 1)).alias("n"))
+    return per_read.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("junctions"), F.count("read").alias("reads"))

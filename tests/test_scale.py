@@ -145,3 +145,15 @@ def test_blocks_and_clips_of_any_string(spark):
     rows = spark.createDataFrame([("5S10M2H",), ("10M",), ("3H2S4=",), ("5M2D5M",), ("*",), ("10S",), ("M",), (None,)], "c string").selectExpr("c", "7 as pos")
     got = [(r.c, [tuple(b) for b in r.b], r.e and tuple(r.e)) for r in rows.select("c", C.match_blocks(rows.pos, rows.c).alias("b"), C.end_clips(rows.c).alias("e")).collect()]
     assert got == [("5S10M2H", [(7, 16)], (5, 2)), ("10M", [(7, 16)], (0, 0)), ("3H2S4=", [(7, 10)], (3, 0)), ("5M2D5M", [(7, 11), (14, 18)], (0, 0)), ("*", [], None), ("10S", [], (10, 10)), ("M", [], None), (None, [], None)]
+
+
+def test_evidence_is_not_multiplied_and_results_are_read_once(spark):
+    from strandline.operators import summary
+    from strandline.plans import queries
+
+    for name in ("stringency_2", "result_totals"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" not in plan and "Join Cross" not in plan
+    rows = spark.createDataFrame([("a,b",), ("b,c",), (None,)], "read_ids string")
+    assert tuple(summary.totals(rows).first()) == (3, 3)
+    assert tuple(summary.totals(rows.limit(0)).first()) == (0, 0)
