@@ -514,11 +514,12 @@ def difference_strings(spark: SparkSession, d: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from strandline.functions.kernels import difference_string
+        from strandline.functions.kernels import difference_strings
 
         for batch in batches:
-            found = [difference_string(s, s[2:] + s[:2], c) for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(found)], names=["file_ord", "difference"])
+            reads = batch.column(1).to_pylist()
+            found = difference_strings(reads, [s and s[2:] + s[:2] for s in reads], batch.column(2).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], names=["file_ord", "difference"])
 
     return view(spark, d, "aln").where("cigar <> '*'").select("file_ord", "seq", "cigar").mapInArrow(run, "file_ord long, difference string")
 

@@ -157,3 +157,37 @@ def test_evidence_is_not_multiplied_and_results_are_read_once(spark):
     rows = spark.createDataFrame([("a,b",), ("b,c",), (None,)], "read_ids string")
     assert tuple(summary.totals(rows).first()) == (3, 3)
     assert tuple(summary.totals(rows.limit(0)).first()) == (0, 0)
+
+
+def test_difference_strings_side_by_side_are_those_of_each_alignment():
+    import random
+
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("ACGTacgtN"[: draw.randint(1, 9)]) for _ in range(draw.choice([0, 1, 5, 40, 200, 1500])))
+    rows = [("ACGT", "ACGT", "*"), ("ACGT", "AC", "9M2I"), ("AßGT", "ACGT", "4M"), ("ACGT", "ACGTACGT", "2M5N1M9D")]
+    for _ in range(400):
+        a = word()
+        b = word() if draw.random() < 0.5 else a[draw.randint(0, 3) :] + word()
+        rows.append((a, b, "".join(f"{draw.choice([0, 1, 2, 9, 10, 30, 120, 1200])}{draw.choice('MMMMIDNSHP=X')}" for _ in range(draw.randint(0, 7)))))
+    for most in (1, 300, 1 << 15):
+        assert kernels.difference_strings(*map(list, zip(*rows, strict=True)), most_columns=most) == [kernels.difference_string(*r) for r in rows]
+    assert kernels.difference_strings([None, "A", "A", "A"], ["A", None, "A", "A"], ["1M", "1M", None, "1M"]) == [None, None, None, ":1"]
+    assert kernels.difference_strings([], [], []) == []
+
+
+def test_difference_strings_side_by_side_are_quick(spark):
+    import time
+
+    from strandline.plans import queries
+    from strandline.plans.views import view
+
+    reads = view(spark, "/root/testdata/sf0.01", "aln").where("cigar <> '*'").select("file_ord", "seq", "cigar").limit(20_000).collect()
+    given = [[r.seq for r in reads], [r.seq[2:] + r.seq[:2] for r in reads], [r.cigar for r in reads]]
+    began = time.process_time()
+    alone = [kernels.difference_string(*r) for r in zip(*given, strict=True)]
+    between = time.process_time()
+    together = [x for k in (0, 10_000) for x in kernels.difference_strings(*(g[k : k + 10_000] for g in given))]
+    assert together == alone
+    assert 2 * (time.process_time() - between) < between - began
+    made = {(r.file_ord, r.difference) for r in queries.difference_strings(spark, "/root/testdata/sf0.01").collect()}
+    assert {(r.file_ord, x) for r, x in zip(reads, alone, strict=True)} <= made
