@@ -58,7 +58,7 @@ def _absorbed(source: str, name: str, shared: str) -> str:
     {_absorbed('base', 'one', 'site1')}, {_absorbed('one', 'two', 'site2')} select read_id, cigar, tag, chrom, site1, site2, strand, cast(q as int) as q from two""")
 def twins_absorbed(spark: SparkSession, d: str) -> DataFrame:
     sure = (F.floor(F.col("site1") / 50) + F.floor(F.col("site2") / 100)) % 3 == 0
-    rows = view(spark, d, "ev").where("priority = 1").withColumn("q", F.when(sure, F.col("q")).otherwise(F.least("q", F.lit(0)))).select("read_id", "cigar", "tag", *SITE, "strand", "q").distinct()
+    rows = view(spark, d, "ev").where("priority = 1").withColumn("q", F.when(sure, F.col("q")).otherwise(F.least("q", F.lit(0)))).select("read_id", "cigar", "tag", *SITE, "strand", "q")
     chunks = spark.createDataFrame([(f"chr{k}", 0, 20_000, "A" * 20_000) for k in (1, 2, 3)], "chrom string, chunk int, n int, seq string")
     return summary.absorb_twins(rows, chunks, chunk=20_000)
 

@@ -191,3 +191,67 @@ def test_difference_strings_side_by_side_are_quick(spark):
     assert 2 * (time.process_time() - between) < between - began
     made = {(r.file_ord, r.difference) for r in queries.difference_strings(spark, "/root/testdata/sf0.01").collect()}
     assert {(r.file_ord, x) for r, x in zip(reads, alone, strict=True)} <= made
+
+
+def test_twins_shuffle_evidence_once(spark):
+    from strandline.plans import strings
+
+    plan = strings.twins_absorbed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_twins_on_junctions_are_those_on_evidence(spark, monkeypatch, most):
+    import random
+    from collections import defaultdict
+
+    from strandline.operators import summary
+
+    monkeypatch.setattr(summary, "MOST_SITES", most)
+    draw = random.Random(11)
+    reference = "".join(draw.choice("ACGT") for _ in range(50)) * 60
+    chunks = spark.createDataFrame([("c", 0, len(reference), reference)], "chrom string, chunk int, n int, seq string")
+    evidence = set()
+    for _ in range(60):
+        site1, site2 = draw.choice([1000, 1050, 1100, 1103, 1220]), draw.choice([2000, 2050, 2100, 2117, 2131])
+        sure = site1 in (1000, 1103) and draw.random() < 0.3
+        for _ in range(draw.randint(1, 3)):
+            cigar = draw.choice(["60S40M;60M40S", "70S30M;70M30S", "20S60M20S", "50S50M;*", "90S10M;30M2D60M8S"])
+            evidence.add((f"r{draw.randint(0, 20)}", cigar, 1, "c", site1, site2, "+", int(sure)))
+
+    reach = {"60S40M": 40, "70S30M": 30, "50S50M": 50, "90S10M": 10, "60M40S": 60, "70M30S": 70, "*": 0, "30M2D60M8S": 92}
+
+    def slot_of(key, n):
+        h, size = 0, 16
+        for c in "\t".join(map(str, key)):
+            h = (31 * h + ord(c)) % (1 << 32)
+        while n > 0.75 * size:
+            size *= 2
+        return (h ^ (h >> 16)) % size
+
+    def absorbed(rows, moves):
+        which, per = moves - 1, defaultdict(lambda: [0, 0])
+        for r in rows:
+            if ";" in r[1]:
+                one = per[r[3:6]]
+                one[0] += r[2] == 1 and r[7] == 1
+                one[1] = max(one[1], reach[r[1].split(";")[which]])
+        groups, taken = defaultdict(list), {}
+        for key in per:
+            groups[key[2 - which]].append(key)
+        for keys in groups.values():
+            keys.sort(key=lambda k: (slot_of(k, len(keys)), k))  # noqa: B023
+            for strong in (k for k in keys if per[k][0]):
+                for weak in (k for k in keys if not per[k][0] and per[k][1] and k not in taken):
+                    n = per[weak][1]
+                    one, two = (reference[k[2] - n : k[2]] if moves == 2 else reference[k[1] - 1 : k[1] - 1 + n] for k in (strong, weak))
+                    score, length = kernels.local_alignment(one, two, 1, -1, -3)
+                    if score >= n - 2 - (n - 1) // 10 * 2 and length > n - 2:
+                        taken[weak] = strong
+        return {(*r[:3], *taken.get(r[3:6], r[3:6]), *r[6:]) for r in rows}, len(taken)
+
+    once, first = absorbed(evidence, 2)
+    want, second = absorbed(once, 1)
+    assert first and second
+    table = spark.createDataFrame(sorted(evidence) + sorted(evidence)[:9], "read_id string, cigar string, tag int, chrom string, site1 int, site2 int, strand string, q int")
+    assert sorted(map(tuple, summary.absorb_twins(table, chunks, chunk=len(reference)).collect())) == sorted(want)
